@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corploom.llm import packing, quality, queries_sql, sharding
+from corploom.llm import minhash, packing, quality, queries_sql, sharding
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,17 @@ def op8_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = minhash.near_duplicates(docs, minhash.NearParameters(words=2))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_balanced_shards": op8_balanced_shards,
+    "op10_minhash_components": op10_minhash_components,
 }
 
 ORACLE_SQL: dict[str, str] = {
