@@ -196,10 +196,7 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 def cover(n_words: int, starts: np.ndarray, size: int) -> np.ndarray:
     """Marks the words inside windows of ``size`` words at ``starts``."""
-    edge = np.zeros(n_words + 1, np.int32)
-    np.add.at(edge, starts, 1) if len(starts) < 64 else edge.__iadd__(np.bincount(starts, minlength=n_words + 1).astype(np.int32))
-    stops = starts + size
-    edge -= np.bincount(stops, minlength=n_words + 1).astype(np.int32)[: n_words + 1]
+    edge = np.bincount(starts, minlength=n_words + 1) - np.bincount(starts + size, minlength=n_words + 1)
     return np.cumsum(edge[:-1]) > 0
 
 

@@ -46,3 +46,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        dup_line_chars, dup_ngram_chars
 FROM b
 """
+
+
+SUBSTRING = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+g AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)
+),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS first FROM g) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM late, (SELECT unnest(range(0, 13)) AS k)),
+left_over AS (
+    SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.p) AS kept, count(*) AS n
+    FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w) e
+    LEFT JOIN gone USING (doc_id, p) WHERE gone.p IS NULL GROUP BY e.doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_over USING (doc_id)
+"""
