@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corploom.llm import minhash, packing, quality, queries_sql, sharding, substring
+from corploom.llm import minhash, mixing, packing, quality, queries_sql, sharding, substring
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,15 +38,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_balanced_shards": op8_balanced_shards,
+    "op9_pfair_mixing": op9_pfair_mixing,
     "op10_minhash_components": op10_minhash_components,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": queries_sql.SUBSTRING,
     "op3_quality_rules": queries_sql.QUALITY,
+    "op9_pfair_mixing": queries_sql.MIXING,
 }

@@ -64,3 +64,32 @@ left_over AS (
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN left_over USING (doc_id)
 """
+
+MIXING = """
+WITH RECURSIVE c AS (SELECT coalesce('s' || source, 'n') AS key, count(*) AS n FROM documents GROUP BY 1),
+t AS (SELECT greatest(1000, 2 * count(*))::BIGINT AS h, count(*)::BIGINT AS k FROM c),
+score AS (SELECT key, n, floor(sqrt(n::DOUBLE) * 1000)::BIGINT AS score, h - k AS spare, sum(floor(sqrt(n::DOUBLE) * 1000)::BIGINT) OVER ()::BIGINT AS total FROM c, t),
+base AS (SELECT *, spare * score // total AS base, spare * score % total AS rest FROM score),
+w AS (
+    SELECT key, n, (1 + base + (row_number() OVER (ORDER BY rest DESC, key) <= spare - sum(base) OVER ())::INT)::BIGINT AS w FROM base
+),
+s AS (SELECT list(w ORDER BY key) AS ws, list(key ORDER BY key) AS keys FROM w),
+fold AS (
+    SELECT 0::BIGINT AS slot, list_transform(ws, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM s
+    UNION ALL
+    SELECT slot + 1, list_transform(range(1, len(done) + 1), lambda i: done[i] + (i = pick2)::BIGINT), pick2
+    FROM (
+        SELECT slot, done, list_min(list_transform(list_filter(range(1, len(done) + 1), lambda i: done[i] * h < (slot + 1) * ws[i]),
+               lambda i: {'due': ((done[i] + 1) * h + ws[i] - 1) // ws[i], 'i': i})).i AS pick2
+        FROM fold, s, t WHERE slot < h
+    )
+),
+plan AS (SELECT keys[pick] AS key, slot - 1 AS pos, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS r FROM fold, s WHERE pick IS NOT NULL),
+lack AS (
+    SELECT min((((n + 15) // 16) // w) * h + pos) AS least FROM w JOIN plan USING (key), t WHERE r = ((n + 15) // 16) % w
+),
+d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS key, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank FROM documents)
+SELECT doc_id, source, rank // 16 AS block, (rank % 16)::INT AS place, (rank // 16) * h // w AS release,
+       (((rank // 16) + 1) * h + w - 1) // w AS deadline, ((rank // 16) // w) * h + pos AS slot, ((rank // 16) // w) * h + pos < least AS on_target
+FROM d JOIN w USING (key) JOIN plan ON plan.key = d.key AND plan.r = (rank // 16) % w, t, lack
+"""
