@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corploom.llm import minhash, mixing, packing, quality, queries_sql, sharding, substring
+from corploom.llm import language, minhash, mixing, packing, quality, queries_sql, sharding, substring
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +42,17 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    prototypes = language.learn(docs.where(language.fold(F.col("doc_id")) != 1))
+    held_out = F.coalesce(language.fold(F.col("doc_id")) == 1, F.lit(False))
+    return language.identify(docs, prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op5_language_profiles": op5_language_profiles,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_balanced_shards": op8_balanced_shards,
     "op9_pfair_mixing": op9_pfair_mixing,
