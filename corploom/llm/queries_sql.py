@@ -93,3 +93,17 @@ SELECT doc_id, source, rank // 16 AS block, (rank % 16)::INT AS place, (rank //
        (((rank // 16) + 1) * h + w - 1) // w AS deadline, ((rank // 16) // w) * h + pos AS slot, ((rank // 16) // w) * h + pos < least AS on_target
 FROM d JOIN w USING (key) JOIN plan ON plan.key = d.key AND plan.r = (rank // 16) % w, t, lack
 """
+
+CHAT = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length(role) + len(regexp_extract_all(role, '[\\\n|]')) + 1
+           + length(text) + len(regexp_extract_all(text, '<\\*\|')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
