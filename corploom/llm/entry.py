@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corploom.llm import chat, language, minhash, mixing, packing, quality, queries_sql, sharding, substring
+from corploom.llm import chat, language, minhash, mixing, packing, quality, queries_sql, sharding, substring, tiff
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = tiff.store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return tiff.page_features(tiff.decode_pages(media, keep=("doc_id", "n_bytes")))
+
+
 def op5_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     prototypes = language.learn(docs.where(language.fold(F.col("doc_id")) != 1))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_tiff_pages": op4_tiff_pages,
     "op5_language_profiles": op5_language_profiles,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_balanced_shards": op8_balanced_shards,
