@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corploom.llm import chat, language, minhash, mixing, packing, quality, queries_sql, sharding, substring, tiff
+from corploom.llm import chat, language, minhash, mixing, packing, quality, queries_sql, sharding, substring, tiff, warc
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archive(warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_tiff_pages": op4_tiff_pages,
     "op5_language_profiles": op5_language_profiles,
+    "op6_content_addressed_warc": op6_content_addressed_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_balanced_shards": op8_balanced_shards,
     "op9_pfair_mixing": op9_pfair_mixing,
@@ -79,5 +84,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": queries_sql.CHAT,
     "op2_substring_dedup": queries_sql.SUBSTRING,
     "op3_quality_rules": queries_sql.QUALITY,
+    "op6_content_addressed_warc": queries_sql.WARC,
     "op9_pfair_mixing": queries_sql.MIXING,
 }

@@ -107,3 +107,16 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
            + length(text) + len(regexp_extract_all(text, '<\\*\|')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+WARC = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first,
+           row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id, url) = 1 AS stored
+    FROM pages
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(h, (1 + 10 * (k // 8))::INT, 10))::BIGINT >> (35 - 5 * (k % 8))) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN stored THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT stored THEN first END AS refers_to
+FROM p
+"""
