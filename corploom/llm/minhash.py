@@ -40,6 +40,9 @@ from corploom.llm import blocks, shared
 from corploom.llm.components import components
 
 U64 = np.uint64
+#: Joins between tables that grow with the documents all shuffle, on any amount of data: a plan that broadcasts
+#: the small cases tells nothing about the large ones.
+_BOTH_GROW = "merge"
 _FAN = 256  # edges of one node, or members of one bucket, that meet in one group
 
 
@@ -164,11 +167,11 @@ def _attach(edges: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame
     ``b`` spreads them, so a node with any number of edges makes no hot key.
     """
     fans = edges.groupBy("a").agg(F.ceil(F.count("*") / _FAN).cast("int").alias("fan"))
-    left = table.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns)).join(fans, "a")
+    left = table.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns)).join(fans.hint(_BOTH_GROW), "a")
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
-    right = edges.join(fans, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("fan"))).select("a", "b", "salt")
-    right = right.join(table.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns)), "b")
-    return left.drop("fan").join(right, ["a", "salt"]).drop("salt")
+    right = edges.join(fans.hint(_BOTH_GROW), "a").withColumn("salt", F.pmod(F.hash("b"), F.col("fan"))).select("a", "b", "salt")
+    right = right.hint(_BOTH_GROW).join(table.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns)), "b")
+    return left.drop("fan").join(right.hint(_BOTH_GROW), ["a", "salt"]).drop("salt")
 
 
 def _by_signature(edges: DataFrame, signatures: DataFrame, p: NearParameters) -> DataFrame:
@@ -262,14 +265,14 @@ def near_duplicates(docs: DataFrame, p: NearParameters | None = None, *, id_colu
     buckets = shared.written(band.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).where("size > 1 and centre is not null"), "near-buckets")
     limit = max(scanned.count() // (4 * shared.shuffle_parts(docs.sparkSession)), 1000)
     hot = F.broadcast(buckets.where(F.col("size") > limit))  # at most `bands` x 4 P of all keys
-    cold = band.join(buckets.where(F.col("size") <= limit), "key")
+    cold = band.join(buckets.where(F.col("size") <= limit).hint(_BOTH_GROW), "key")
     members = cold.unionByName(band.join(hot, "key")).where("doc_id is not null and doc_id != centre")
     members = shared.written(members.select("key", "centre", "size", "doc_id").join(reps, "doc_id").select("key", "centre", "size", F.col("rep").alias("doc")).where("doc != centre").distinct(), "near-members")
 
     star = shared.written(members.select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), "near-star")
     wanted = star.select("a").union(star.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    signatures = some.select("doc_id", "n_shingles", "signature").join(wanted, "doc_id", "left_semi")
-    texts = shared.written(_packed_texts(slim).join(wanted, "doc_id", "left_semi"), "near-texts")
+    signatures = some.select("doc_id", "n_shingles", "signature").join(wanted.hint(_BOTH_GROW), "doc_id", "left_semi")
+    texts = shared.written(_packed_texts(slim).join(wanted.hint(_BOTH_GROW), "doc_id", "left_semi"), "near-texts")
     links = shared.written(_by_sets(_by_signature(star, signatures, p), texts, p).distinct(), "near-links")
     labels = shared.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-labels")
 
