@@ -1,26 +1,61 @@
-"""A training-data pipeline of four or five operators over `documents`."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes what its predecessor kept and returns the columns of
+`documents`, but for the last, which returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corploom.llm import quality
+from corploom.llm import minhash, mixing, packing, quality, shared, substring
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
     return quality.drop_low_quality(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality_stage)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: shingles of five words, similarity 0.8."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that an earlier document has go from the text; the document stays."""
+    return substring.drop_repeated_passages(docs, length_column="n_chars")
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their rows and files in the order in which the sources' weights interleave them."""
+    return mixing.interleave(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece: its token ids and its place in a sequence."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("mixed sources", mixed_sources),
+    ("packed sequences", packed_sequences),
+]
+
+#: SQL has no tokenizer and no sketch of that kind; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of `documents`; each reads the written table of the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = shared.written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
