@@ -1,0 +1,43 @@
+"""Streams pick what corpora pick; the driver's entry points hold together."""
+
+import pytest
+
+import __spark_entry__ as entry_points
+from corploom import Corpus, Document, queries, read
+from corploom.errors import ConfigurationError
+from corploom.operators.filter import Filter
+from corploom.operators.mix import Mix
+from corploom.operators.sample import Sample
+from corploom.operators.split import Split
+from corploom.streaming.steps import append_stream, select_stream
+
+
+def test_a_stream_keeps_what_a_corpus_keeps(spark, tmp_path):
+    docs = [Document(f"text {k}" if k % 5 else " ", f"s{k % 3}", k) for k in range(120)]
+    rows = [(d.text, d.source, d.position, None, "{}") for d in docs]
+    for half, name in ((rows[:60], "a"), (rows[60:], "b")):
+        spark.createDataFrame(half, "text string, source string, position long, lang string, metadata string").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    schema = spark.read.parquet(str(tmp_path / "in" / "a")).schema
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    steps = [Filter(min_chars=6), Split(0.3, 1, "content", "train"), Sample(0.6, seed=2)]
+    append_stream(select_stream(stream, steps), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    got = sorted(r.position for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    corpus = Corpus(read(docs, name="d")).filter(min_chars=6).split(validation=0.3, seed=1)[0].sample(0.6, seed=2)
+    assert got == [d.position for d in corpus] and 0 < len(got) < 96
+    for unfit in (Mix(alpha=0.5), Sample(max_bytes=5)):
+        with pytest.raises(ConfigurationError):
+            select_stream(stream, [unfit])
+
+
+def test_every_oracle_has_a_query():
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries()) and len(queries.QUERIES) >= 30
+
+
+def test_the_flagship_query_runs(spark):
+    out = entry_points.entry(spark)
+    assert out.columns == ["lang", "documents", "bytes", "chars"] and out.count() >= 1
+
+
+@pytest.mark.parametrize(("sf", "kept"), [("sf0.001", 180), ("sf0.01", 900)])
+def test_near_dedup_of_the_tables(spark, sf, kept):
+    assert queries.near_dedup(spark, f"/root/testdata/{sf}").count() == kept
