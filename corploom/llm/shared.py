@@ -1,58 +1,13 @@
-"""Written intermediate tables in the cluster's shared folder, and joins that split hot keys."""
+"""Joins that split hot keys, over tables written to the folder all executors share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: list[tuple[SparkSession, str]] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a fresh one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = next((at for session, at in _own if session is spark), None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='corploom-')}"
-        _own.append((spark, named))
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a written table; a stopped session leaves nothing to ask, so that is no error."""
-    if spark.sparkContext._jsc is None:
-        return
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - at exit the JVM may be gone
-        return
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of ``df`` from a table written now: lineage ends, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
+from corploom.plans.tables import forget, new_path, written
 
-def forget(df: DataFrame) -> None:
-    """Deletes the table of a DataFrame that `written` returned and that nothing reads any more."""
-    remove(df.sparkSession, df.written_to)
+__all__ = ["forget", "lookup", "new_path", "shuffle_parts", "written"]
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -68,10 +23,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     ``rows`` is read three times, so it should be a written or cheap table.
     """
     parts = shuffle_parts(rows.sparkSession)
-    total = rows.count()
-    limit = max(total // (4 * parts), 1000)
-    hot = rows.groupBy(key).count().where(F.col("count") > limit).select(key)
-    hot = written(hot, "hot-keys")
+    limit = max(rows.count() // (4 * parts), 1000)
+    hot = written(rows.groupBy(key).count().where(F.col("count") > limit).select(key), "hot-keys")
     if hot.isEmpty():
         return rows.join(table, key)
     hot = F.broadcast(hot)
