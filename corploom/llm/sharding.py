@@ -11,7 +11,7 @@ a group above that capacity is a crate of its own.  The driver packs crates
 into shards: their number is bounded by 2 T / c + P for a total size T, crate
 capacity c = T / (shards x crates_per_shard) and P tasks, whatever the number
 of documents.  Given a number of shards, it takes the least capacity at which
-best-fit-decreasing needs no more.
+best-fit-decreasing needs no more, beside shards for groups above the mean.
 
 Cases: a null text counts as empty, so null and empty texts are one group;
 repeated rows are rows of their own in the group of their text; a group that
@@ -139,7 +139,26 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def pack_into(sizes: list[int], shards: int) -> list[int]:
-    """A shard from 0 for each size, under the least capacity found at which best-fit-decreasing needs no more."""
+    """A shard from 0 for each size, with sums as near to equal as indivisible sizes let them be.
+
+    A size above the mean of the shards left has a shard to itself.  The others
+    go by best-fit-decreasing into what is left, under the least capacity found
+    at which that needs no more shards.
+    """
+    order = sorted(range(len(sizes)), key=lambda k: -sizes[k])
+    out, left = [0] * len(sizes), sum(sizes)
+    alone = 0
+    while alone < len(order) and alone < shards - 1 and sizes[order[alone]] * (shards - alone) > left:
+        out[order[alone]] = alone
+        left -= sizes[order[alone]]
+        alone += 1
+    rest = order[alone:]
+    for k, shard in zip(rest, _least_capacity([sizes[k] for k in rest], shards - alone)):
+        out[k] = alone + shard
+    return out
+
+
+def _least_capacity(sizes: list[int], shards: int) -> list[int]:
     low = max([-(-sum(sizes) // shards), *sizes], default=1)
     high = low
     while True:

@@ -262,7 +262,7 @@ def test_shards(odd_docs, odd_rows, no_docs, spark):
     assert sharding.shard_documents(no_docs, 4).count() == 0
     hot = spark.createDataFrame([(i, "hot text" if i % 3 == 0 else f"text {i}") for i in range(9000)], "doc_id long, text string")
     sums = sharding.shard_documents(hot, 5).groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.max("slot").alias("m")).collect()
-    assert all(r.n == r.m + 1 for r in sums) and len(sums) == 5 and sorted(r.s for r in sums)[0] >= 0.9 * sorted(r.s for r in sums)[3]
+    assert all(r.n == r.m + 1 for r in sums) and len(sums) == 5 and sorted(r.s for r in sums)[0] >= 0.98 * sorted(r.s for r in sums)[3]
 
 
 # --- mixing -------------------------------------------------------------------
