@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
 Documents of a source, in id order, form blocks.  With integer weights w_i that
-sum to H ticks, block j of source i (from 0) has the release time
+sum to H (about `ticks`), block j of source i (from 0) has the release time
 ``floor(j H / w_i)`` and the deadline ``ceil((j + 1) H / w_i)``.  Earliest
 deadline first among released blocks meets every deadline on one processor at
 full use, so after any number of slots each source is less than one block from
@@ -14,8 +14,8 @@ others keep their proportions; `on_target` marks the slots before that.
 
 Ranks inside a source come from a window over (source, range of ids) plus the
 counts of earlier ranges, so a source with a third of all rows is ranked in
-many tasks, and only counts and the plan of one period are broadcast: at most
-`ticks` rows, and `ranges` x sources rows.
+many tasks, and only counts and the plan of one period are broadcast: about
+`ticks` rows (never under two a source), and `ranges` x sources rows.
 
 Cases: null sources are one source of their own; texts are not read; rows with
 one id are ranked next to each other in any order; null ids come first; an
@@ -50,18 +50,14 @@ def _key(source: Column) -> Column:
 
 
 def _wanted(counts: DataFrame, p: MixParameters) -> DataFrame:
-    """Integer weight `w` of each source, one at least, summing to `ticks`, by largest remainder."""
+    """Integer weight `w` of each source: its share of about `ticks`, rounded, one at least."""
     score = F.floor(F.sqrt(F.col("n").cast("double")) * 1000).cast("long")
     if p.weights:
         given = F.create_map(*(x for k, v in p.weights.items() for x in (F.lit("s" + k), F.lit(int(v)).cast("long"))))
         score = F.coalesce(given[F.col("key")], score)
     one = Window.partitionBy(F.lit(1))  # one row a source
-    spare = F.lit(p.ticks) - F.count("*").over(one)
-    scored = counts.withColumn("score", score).withColumn("all", F.sum("score").over(one)).withColumn("spare", spare)
-    base = F.expr("spare * score div all")
-    scored = scored.withColumn("base", base).withColumn("rest", F.expr("spare * score % all")).withColumn("short", F.col("spare") - F.sum("base").over(one))
-    rank = F.row_number().over(one.orderBy(F.desc("rest"), "key"))
-    return scored.select("key", "n", (F.lit(1) + F.col("base") + (rank <= F.col("short")).cast("long")).alias("w"))
+    scored = counts.withColumn("score", score).withColumn("all", F.sum("score").over(one))
+    return scored.select("key", "n", F.greatest(F.lit(1), F.expr(f"(2 * {p.ticks} * score + all) div (2 * all)")).alias("w"))
 
 
 def _period(wanted: DataFrame, ticks: int) -> DataFrame:
@@ -105,7 +101,9 @@ def schedule(docs: DataFrame, p: MixParameters | None = None, *, id_column: str
     before = F.coalesce(F.sum("__mix_n").over(Window.partitionBy("__mix_key").orderBy("__mix_range").rowsBetween(*_ALL_BEFORE)), F.lit(0))
     offsets = cells.select("__mix_key", "__mix_range", before.alias("__mix_before"))
     counts = cells.groupBy(F.col("__mix_key").alias("key")).agg(F.sum("__mix_n").alias("n"))
-    period = _period(_wanted(counts, p), ticks)
+    wanted = _wanted(counts, p)
+    ticks = wanted.agg(F.sum("w")).first()[0] or 1
+    period = _period(wanted, ticks)
 
     blocks = f"((n + {p.block_docs - 1}) div {p.block_docs})"
     lacking = period.where(f"r = {blocks} % w").agg(F.min(F.expr(f"({blocks} div w) * {ticks} + pos"))).first()[0]

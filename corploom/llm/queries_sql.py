@@ -67,12 +67,12 @@ FROM w LEFT JOIN left_over USING (doc_id)
 
 MIXING = """
 WITH RECURSIVE c AS (SELECT coalesce('s' || source, 'n') AS key, count(*) AS n FROM documents GROUP BY 1),
-t AS (SELECT greatest(1000, 2 * count(*))::BIGINT AS h, count(*)::BIGINT AS k FROM c),
-score AS (SELECT key, n, floor(sqrt(n::DOUBLE) * 1000)::BIGINT AS score, h - k AS spare, sum(floor(sqrt(n::DOUBLE) * 1000)::BIGINT) OVER ()::BIGINT AS total FROM c, t),
-base AS (SELECT *, spare * score // total AS base, spare * score % total AS rest FROM score),
-w AS (
-    SELECT key, n, (1 + base + (row_number() OVER (ORDER BY rest DESC, key) <= spare - sum(base) OVER ())::INT)::BIGINT AS w FROM base
+score AS (
+    SELECT key, n, floor(sqrt(n::DOUBLE) * 1000)::BIGINT AS score, sum(floor(sqrt(n::DOUBLE) * 1000)::BIGINT) OVER ()::BIGINT AS total,
+           greatest(1000, 2 * count(*) OVER ())::BIGINT AS ticks FROM c
 ),
+w AS (SELECT key, n, greatest(1, (2 * ticks * score + total) // (2 * total))::BIGINT AS w FROM score),
+t AS (SELECT sum(w)::BIGINT AS h FROM w),
 s AS (SELECT list(w ORDER BY key) AS ws, list(key ORDER BY key) AS keys FROM w),
 fold AS (
     SELECT 0::BIGINT AS slot, list_transform(ws, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM s
