@@ -8,8 +8,11 @@ regular expression ``[^\\x20\\x09-\\x0D]+`` read as UTF-8.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,29 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 #: Bytes of text handled in one vectorised step; keeps temporaries in tens of MB.
 SLICE_BYTES = 1 << 20
 
+_libc = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Gives memory that is free in this process back: workers stay alive between tasks, next to the JVM's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def tidy(rows: Callable[[Any], Iterator[Any]]) -> Callable[[Any], Iterator[Any]]:
+    """A generator function over a task's batches that frees memory at its end."""
+
+    @wraps(rows)
+    def run(batches: Any) -> Iterator[Any]:
+        try:
+            yield from rows(batches)
+        finally:
+            trim()
+
+    return run
+
+
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _MASK = (1 << 64) - 1
 _powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}

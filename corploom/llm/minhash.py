@@ -139,6 +139,7 @@ def _scan_rows(doc_ids: pa.Array, data: np.ndarray, offsets: np.ndarray, p: Near
 def scan(docs: DataFrame, p: NearParameters) -> DataFrame:
     """Set size, set digest, band keys and signature of each (doc_id, text)."""
 
+    @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets, _ = blocks.utf8(batch.column(1))
@@ -151,6 +152,7 @@ def scan(docs: DataFrame, p: NearParameters) -> DataFrame:
 def _packed_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, packed): texts compressed before they shuffle."""
 
+    @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
@@ -179,6 +181,7 @@ def _by_signature(edges: DataFrame, signatures: DataFrame, p: NearParameters) ->
     both = _attach(edges, signatures, ["signature", "n_shingles"])
     both = both.where((F.least("a_n_shingles", "b_n_shingles") * 100 >= F.greatest("a_n_shingles", "b_n_shingles") * p.percent))
 
+    @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (blocks.utf8(batch.column(k))[0].reshape(batch.num_rows, p.hashes) for k in (2, 3))
@@ -190,6 +193,7 @@ def _by_signature(edges: DataFrame, signatures: DataFrame, p: NearParameters) ->
 def _by_sets(edges: DataFrame, texts: DataFrame, p: NearParameters) -> DataFrame:
     """Edges confirmed on the full shingle sets of both texts."""
 
+    @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, U64))
@@ -255,6 +259,7 @@ def _blocks_of_buckets(members: DataFrame, signatures: DataFrame, p: NearParamet
 def near_duplicates(docs: DataFrame, p: NearParameters | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the least id reachable over links) of every row."""
     p = p or NearParameters()
+    shared.bound_batches(docs.sparkSession)
     slim = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     scanned = shared.written(scan(slim, p), "near-scan")
     some = scanned.where("n_shingles > 0")

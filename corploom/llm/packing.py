@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from corploom.llm import blocks
+from corploom.llm import blocks, shared
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -82,7 +82,7 @@ class WordTokenizer:
     tokenizer, and its ids stay in a bounded cache.
     """
 
-    def __init__(self, path: str, cache_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, cache_words: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -201,7 +201,9 @@ def pack_documents(
     The tokenizer must be one whose tokens never span white space.  Pieces that
     arrive in one slice of `slice_bytes` of text are offered longest first.
     """
+    shared.bound_batches(docs.sparkSession)
 
+    @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 36)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corploom.llm import blocks
+from corploom.llm import blocks, shared
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -111,7 +111,9 @@ def _lines(words: blocks.Words, chars: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def quality_rules(docs: DataFrame, limits: RepetitionLimits | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document with the base counts, the repetition measures and the verdict. Narrow: no shuffle."""
     limits = limits or RepetitionLimits()
+    shared.bound_batches(docs.sparkSession)
 
+    @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = measure(batch.column(1), limits)
@@ -125,8 +127,10 @@ def quality_rules(docs: DataFrame, limits: RepetitionLimits | None = None, *, id
 def drop_low_quality(docs: DataFrame, limits: RepetitionLimits | None = None, *, text_column: str = "text") -> DataFrame:
     """The documents that pass, with all their columns. Narrow: no shuffle."""
     limits = limits or RepetitionLimits()
+    shared.bound_batches(docs.sparkSession)
     at = docs.columns.index(text_column)
 
+    @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(measure(batch.column(at), limits)["kept"]))

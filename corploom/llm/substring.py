@@ -33,8 +33,11 @@ but for the text and, if named, its length.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
+from inspect import signature
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +58,7 @@ MESSAGE = "block int, kind int, part int, payload binary"
 @dataclass(frozen=True)
 class SubstringParameters:
     window: int = 13
-    block_bytes: int = 8 << 20
+    block_bytes: int = 4 << 20
     cells_per_window: int = 8
     bytes_per_word: int = 6
 
@@ -88,6 +91,20 @@ def _unpack(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def _tidied(group: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A function of one group that frees memory at its end; its parameters stay visible to Spark."""
+
+    @wraps(group)
+    def run(*args: Any) -> pa.Table:
+        try:
+            return group(*args)
+        finally:
+            blocks.trim()
+
+    run.__signature__ = signature(group)
+    return run
+
+
 class _Windows:
     """All windows of one block: exact keys, sketch cells, and where they start."""
 
@@ -130,6 +147,7 @@ def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "kind", "part", "payload"), columns, kinds)})
 
 
+@_tidied
 def _sketch(block: pa.Table, text_at: int, lay: _Layout) -> pa.Table:
     """Pass 1: the sparse partial sketch of a block, by row and range."""
     w = _Windows(block.column(text_at), lay.size)
@@ -150,6 +168,7 @@ def _sketch(block: pa.Table, text_at: int, lay: _Layout) -> pa.Table:
     return _table(out)
 
 
+@_tidied
 def _merge_sketch(parts: pa.Table) -> pa.Table:
     """The counts of one range over all blocks, and back to each block its cells counted twice or more."""
     counts = np.zeros(1 << _CELL_BITS, np.uint8)
@@ -210,6 +229,7 @@ def _answers(table: pa.Table) -> list[tuple[int, int, bytes]]:
     return list(zip(*(table.column(k).to_pylist() for k in ("kind", "part", "payload"))))
 
 
+@_tidied
 def _exact_keys(block: pa.Table, answers: pa.Table, id_at: int, text_at: int, lay: _Layout) -> pa.Table:
     """Pass 2: exact keys of the windows estimated repeated, each with the smallest id in this block."""
     if not block.num_rows or not answers.num_rows:
@@ -224,6 +244,7 @@ def _exact_keys(block: pa.Table, answers: pa.Table, id_at: int, text_at: int, la
     return _table(out)
 
 
+@_tidied
 def _least_ids(parts: pa.Table) -> pa.Table:
     """For each block and key of one range: does another block hold a smaller id?"""
     rows = parts.to_pydict()
@@ -290,6 +311,7 @@ def drop_repeated_passages(
 ) -> DataFrame:
     """Every row with its text reduced to the kept words; with ``counts`` also n_words and n_removed."""
     p = p or SubstringParameters()
+    shared.bound_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_column)), F.lit(0))).first()[0]
     n_blocks = max(shared.shuffle_parts(docs.sparkSession), -(-total // p.block_bytes))
     ranges = max(1, -(-(total // p.bytes_per_word * p.cells_per_window) >> _CELL_BITS))
@@ -308,6 +330,7 @@ def drop_repeated_passages(
     extra = ", n_words long, n_removed long" if counts else ""
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema) + extra
 
+    @_tidied
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         if not t.num_rows:
