@@ -32,7 +32,7 @@ class TiffError(ValueError):
     """Media that is not a TIFF this reader can decode."""
 
 
-# --- codecs -----------------------------------------------------------------
+# codecs
 
 
 def packbits_encode(raw: bytes) -> bytes:
@@ -175,7 +175,7 @@ def _compress(method: int, raw: bytes) -> bytes:
     return raw
 
 
-# --- reading ----------------------------------------------------------------
+# reading
 
 
 @dataclass(frozen=True)
@@ -281,7 +281,7 @@ def _page(raw: bytes, order: str, tags: dict[int, tuple]) -> Page:
     return Page(width, height, samples, depth, method, tags.get(262, (1,))[0], image.tobytes())
 
 
-# --- writing ----------------------------------------------------------------
+# writing
 
 
 @dataclass(frozen=True)

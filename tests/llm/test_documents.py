@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corploom.llm import blocks, language, minhash, mixing, packing, quality, sharding, substring
 
 
-# --- kernels ------------------------------------------------------------------
+# kernels
 
 
 def test_span_hashes_agree_over_any_cut():
@@ -25,7 +25,7 @@ def test_span_hashes_agree_over_any_cut():
     assert blocks.span_hashes(alone, np.array([0]), np.array([len(alone)]))[0] == h[-2]
 
 
-# --- quality ------------------------------------------------------------------
+# quality
 
 
 def brute_quality(text, limits):
@@ -58,7 +58,7 @@ def test_quality_rules(odd_docs, odd_rows, no_docs):
     assert quality.quality_rules(no_docs).count() == quality.drop_low_quality(no_docs).count() == 0
 
 
-# --- substring ----------------------------------------------------------------
+# substring
 
 
 def brute_substring(rows, size):
@@ -94,7 +94,7 @@ def test_a_crowded_sketch_loses_no_window(odd_docs, odd_rows, monkeypatch):
     assert Counter((r.doc_id, r.text, r.n_words, r.n_removed) for r in out.collect()) == brute_substring(odd_rows, 13)
 
 
-# --- near duplicates ----------------------------------------------------------
+# near duplicates
 
 
 def brute_near(rows, size, percent):
@@ -153,7 +153,7 @@ def test_links_between_documents_that_are_no_centres(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, p).collect()} == expected
 
 
-# --- language -----------------------------------------------------------------
+# language
 
 
 def test_language_profiles(spark, odd_docs, no_docs):
@@ -185,7 +185,7 @@ def test_language_of_held_out_documents(spark):
     assert scored.where("lang = lang_pred").count() >= 0.97 * held.count()
 
 
-# --- packing ------------------------------------------------------------------
+# packing
 
 
 def check_packing(pieces, texts, capacity):
@@ -230,7 +230,7 @@ def test_the_fullest_bin_closes_first():
     assert bins.place(3) == (0, 6) and bins.place(5) == (2, 5) and bins.place(10) == (3, 0)
 
 
-# --- sharding -----------------------------------------------------------------
+# sharding
 
 
 def test_best_fit_decreasing_places_as_a_plain_search_does():
@@ -265,7 +265,7 @@ def test_shards(odd_docs, odd_rows, no_docs, spark):
     assert all(r.n == r.m + 1 for r in sums) and len(sums) == 5 and sorted(r.s for r in sums)[0] >= 0.98 * sorted(r.s for r in sums)[3]
 
 
-# --- mixing -------------------------------------------------------------------
+# mixing
 
 
 def test_mixing_follows_the_weights_by_less_than_a_block(spark, odd_docs, no_docs):
@@ -293,7 +293,7 @@ def test_mixing_follows_the_weights_by_less_than_a_block(spark, odd_docs, no_doc
     assert mixing.mix_sources(no_docs).count() == mixing.interleave(no_docs).count() == 0
 
 
-# --- the pipeline -------------------------------------------------------------
+# the pipeline
 
 
 def test_the_pipeline_stage_by_stage(spark):
