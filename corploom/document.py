@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
 from dataclasses import dataclass, field
 from types import MappingProxyType
-from typing import Any
+from typing import Any, Mapping, Optional
 
 from pyspark.sql import Row
 
@@ -27,17 +26,20 @@ def canonical_json(value: Any) -> str:
 
 @dataclass(frozen=True, slots=True)
 class Document:
-    """An exact text, where it came from, and two identities computed from these."""
+    """A text as it was found and the place it was found at.
+
+    Two identities follow from these: `id` from the place, `content_hash` from the text.
+    """
 
     text: str
     source: str
     position: int
-    lang: str | None = None
-    metadata: Mapping[str, Any] = field(default_factory=dict, hash=False)
-    id: str = field(init=False)
+    lang: Optional[str] = None
+    metadata: Mapping = field(hash=False, default_factory=dict)
     content_hash: str = field(init=False)
+    id: str = field(init=False)
 
-    def __post_init__(self) -> None:
+    def __post_init__(self):
         checks = (
             (isinstance(self.text, str), "text must be str"),
             (isinstance(self.source, str) and bool(self.source), "source must be a non-empty str"),

@@ -1,6 +1,9 @@
 """Exceptions raised on purpose. Setting mistakes are ConfigurationErrors and come before anything is read."""
 
 
+from typing import Optional
+
+
 class CorploomError(Exception):
     """Anything this library raises on purpose."""
 
@@ -50,7 +53,7 @@ class CorpusExistsError(CorploomError):
 
 
 class UnsafeDestinationError(CorploomError):
-    """Saving there would destroy something that is not a saved corpus, or the data being read."""
+    """A save would destroy its own input, or files that are no saved corpus."""
 
 
 class MetadataNotSerializableError(CorploomError):
@@ -72,7 +75,7 @@ class UnsupportedManifestVersionError(ManifestError):
 class ReadError(CorploomError):
     """One bad row, or one bad file or source."""
 
-    def __init__(self, source: str, message: str, position: int | None = None, level: str = "row") -> None:
+    def __init__(self, source: str, message: str, position: Optional[int] = None, level: str = "row") -> None:
         self.source, self.message, self.position, self.level = source, message, position, level
         super().__init__(f"{source if position is None else f'{source}#{position}'}: {message}")
 
@@ -80,5 +83,5 @@ class ReadError(CorploomError):
 class MissingTextFieldError(ReadError):
     """A source whose first row, or whose schema, lacks the text field."""
 
-    def __init__(self, source: str, message: str) -> None:
-        super().__init__(source, message, None, "file")
+    def __init__(self, where: str, what: str) -> None:
+        super().__init__(where, what, level="file")

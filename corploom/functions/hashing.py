@@ -43,8 +43,8 @@ def text_hash(text: str) -> str:
 
 
 def location_hash(source: str, position: int) -> str:
-    """The length in front keeps ("a1", 2) and ("a", 12) apart."""
-    return hex128(utf8(f"{len(source)}:{source}:{position}"))
+    """Digest of the name's length, the name and the number; the length marks where the name ends."""
+    return hex128(utf8(":".join((str(len(source)), source, str(position)))))
 
 
 @F.pandas_udf(T.StringType())

@@ -53,7 +53,7 @@ def _caught(similarity: float, bands: int, rows: int) -> float:
 
 @cache
 def bands_for(threshold: float) -> tuple[int, int]:
-    """(bands, rows) that catch a pair at the threshold about as often as 14 x 8 catch one at 0.75."""
+    """Bands, and rows of a band, with which a pair at the threshold is met as often as one at 0.75 with 14 x 8."""
     aim = _caught(0.75, 14, 8)
     rows = min(range(1, BINS + 1), key=lambda r: abs(_caught(threshold, BINS // r, r) - aim))
     return BINS // rows, rows

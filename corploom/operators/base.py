@@ -9,6 +9,8 @@ from typing import Any, Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corploom.errors import ConfigurationError
+
 GONE = "_gone"
 
 
@@ -57,6 +59,13 @@ def drop_unless(frame: DataFrame, keep: Column, number: int, second: Column | No
     return frame.withColumn(GONE, F.coalesce(F.col(GONE), F.when(~F.coalesce(keep, F.lit(False)), code)))
 
 
+def within(name: str, value: float, low: float, high: float, *, closed: bool = False) -> None:
+    """Refuses a number outside of an interval, whose ends belong to it if ``closed``."""
+    inside = low <= value <= high if closed else low < value < high
+    if not inside:
+        raise ConfigurationError(f"{name}={value} is not {'from' if closed else 'between'} {low} {'to' if closed else 'and'} {high}")
+
+
 def name_of(fn: Callable[..., Any] | None) -> str | None:
     if fn is None:
         return None

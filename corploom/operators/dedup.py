@@ -21,9 +21,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corploom.errors import ConfigurationError
 from corploom.functions import near
-from corploom.operators.base import StepContext, Tally, alive, drop_unless
+from corploom.operators.base import StepContext, Tally, alive, drop_unless, within
 from corploom.plans.tables import forget, written
 
 
@@ -79,18 +78,18 @@ class Dedup:
     needs_prepass = False
 
     def __post_init__(self) -> None:
-        if self.threshold is not None and not 0 < self.threshold < 1:
-            raise ConfigurationError(f"threshold must be in (0, 1), got {self.threshold}")
+        if self.threshold is not None:
+            within("threshold", self.threshold, 0, 1)
 
     @property
     def reproducible(self) -> bool:
-        return self.against is None or self.against.reproducible
+        return True if self.against is None else self.against.reproducible
 
     def parameters(self) -> dict[str, Any]:
         if self.threshold is None and self.against is None:
             return {}
-        found: dict[str, Any] = {"near": self.threshold is not None}
-        if self.threshold is not None:
+        found: dict[str, Any] = dict(near=bool(self.threshold))
+        if self.threshold:
             bands, rows = near.bands_for(self.threshold)
             found |= {"threshold": self.threshold, "bands": bands, "rows": rows, "hashes": near.BINS, "ngram": near.WORDS, "method": near.METHOD}
         return found | {"against": self.against.history if self.against else None}

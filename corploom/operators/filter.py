@@ -29,9 +29,9 @@ class Filter:
 
     def __post_init__(self) -> None:
         if self.min_chars < 0:
-            raise ConfigurationError(f"min_chars must be >= 0, got {self.min_chars}")
-        if self.fn is not None and not isinstance(self.fn, Column) and not callable(self.fn):
-            raise ConfigurationError("fn must be a function taking a Document, or a Column")
+            raise ConfigurationError(f"min_chars={self.min_chars} is negative")
+        if not (self.fn is None or isinstance(self.fn, Column) or callable(self.fn)):
+            raise ConfigurationError("a filter takes a Column or a function of a document")
 
     @property
     def reproducible(self) -> bool:

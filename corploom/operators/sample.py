@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corploom.errors import ConfigurationError
 from corploom.functions import hashing
-from corploom.operators.base import StepContext, Tally, drop_unless
+from corploom.operators.base import StepContext, Tally, drop_unless, within
 
 
 def selection(context: StepContext, seed: Any) -> Any:
@@ -20,7 +20,7 @@ def selection(context: StepContext, seed: Any) -> Any:
 
 def check_budget(max_bytes: int | None) -> None:
     if max_bytes is not None and max_bytes < 0:
-        raise ConfigurationError(f"max_bytes must be >= 0, got {max_bytes}")
+        raise ConfigurationError(f"a budget of {max_bytes} bytes: max_bytes cannot be negative")
 
 
 @dataclass(frozen=True)
@@ -34,8 +34,8 @@ class Sample:
     def __post_init__(self) -> None:
         if (self.fraction is None) == (self.max_bytes is None):
             raise ConfigurationError("sample needs exactly one of fraction or max_bytes")
-        if self.fraction is not None and not 0 <= self.fraction <= 1:
-            raise ConfigurationError(f"fraction must be in [0, 1], got {self.fraction}")
+        if self.fraction is not None:
+            within("fraction", self.fraction, 0, 1, closed=True)
         check_budget(self.max_bytes)
 
     @property

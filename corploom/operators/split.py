@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corploom.document import Document, from_row
 from corploom.errors import ConfigurationError
 from corploom.functions import hashing
-from corploom.operators.base import StepContext, Tally, alive, drop_unless, name_of
+from corploom.operators.base import StepContext, Tally, alive, drop_unless, name_of, within
 
 SplitKey = str | Callable[[Document], str]
 
@@ -30,17 +30,17 @@ class Split:
     needs_prepass = False
 
     def __post_init__(self) -> None:
-        if not 0 < self.validation < 1:
-            raise ConfigurationError(f"validation must be in (0, 1), got {self.validation}")
-        if isinstance(self.by, str) and self.by not in ("content", "source"):
-            raise ConfigurationError(f"by must be one of ['content', 'source'] or a function, got {self.by!r}")
+        within("validation", self.validation, 0, 1)
+        if self.by not in ("content", "source") and not callable(self.by):
+            raise ConfigurationError(f"by={self.by!r} is neither 'content' nor 'source' nor a function")
 
     @property
     def reproducible(self) -> bool:
         return isinstance(self.by, str)
 
     def parameters(self) -> dict[str, Any]:
-        return {"validation": self.validation, "seed": self.seed, "by": self.by if isinstance(self.by, str) else name_of(self.by), "side": self.side}
+        by = name_of(self.by) if callable(self.by) else self.by
+        return dict(by=by, seed=self.seed, side=self.side, validation=self.validation)
 
     def _key(self) -> Column:
         if self.by == "content":

@@ -9,10 +9,9 @@ with one aggregate.  Texts are read again only where they are asked for.
 from __future__ import annotations
 
 import copy
-from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from pathlib import Path
-from typing import Any
+from typing import Any, Callable, Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,9 +119,10 @@ class Pass:
             return out
 
         return CorpusStats(
-            documents, chars, sum(c.bytes for c in left), min((c.shortest for c in left), default=None), max((c.longest for c in left), default=None),
-            chars / documents if documents else None, by(lambda c: c.lang or UNDETERMINED), by(lambda c: c.group), self.corpus.provenance().step_counts,
-            ordered_fingerprint(self.kept()),
+            fingerprint=ordered_fingerprint(self.kept()), documents=documents, bytes=sum(c.bytes for c in left), chars=chars,
+            length_mean=chars / documents if documents else None, length_min=min((c.shortest for c in left), default=None),
+            length_max=max((c.longest for c in left), default=None), by_source=by(lambda c: c.group), by_lang=by(lambda c: c.lang or UNDETERMINED),
+            steps=self.corpus.provenance().step_counts,
         )
 
 
@@ -143,19 +143,19 @@ class Corpus:
         self._last_output: Counts | None = None
         self._last_selection: dict[str, Any] | None = None
 
-    # --- operations -----------------------------------------------------------
+    # operations
 
     def filter(self, fn: Predicate | None = None, *, min_chars: int = 0) -> Corpus:
         """Non-blank documents of at least ``min_chars`` characters that ``fn``, a function or a Column, accepts."""
         return self._then(Filter(fn, min_chars))
 
-    def dedup(self, *, near: bool = False, threshold: float = DEFAULT_THRESHOLD, against: Corpus | None = None, on_disk: bool = False) -> Corpus:
+    def dedup(self, *, against: Corpus | None = None, near: bool = False, threshold: float = DEFAULT_THRESHOLD, on_disk: bool = False) -> Corpus:
         """The first of equal texts or, with ``near``, of near-duplicates; and none that matches ``against``.
 
         ``on_disk`` is accepted for compatibility: shuffles spill by themselves.
         """
         if not near and threshold != DEFAULT_THRESHOLD:
-            raise ConfigurationError("threshold only applies to dedup(near=True)")
+            raise ConfigurationError("an exact dedup has no threshold: say near=True as well")
         if against is None:
             refuse_leaky_dedup(self._recorded(), near=near)
         return self._then(Dedup(threshold if near else None, None if against is None else against._as_against()))
@@ -166,11 +166,11 @@ class Corpus:
         train, held = (self._then(Split(validation, seed, by, side)) for side in ("train", "validation"))
         return train, held
 
-    def sample(self, fraction: float | None = None, *, max_bytes: int | None = None, seed: int = 0) -> Corpus:
+    def sample(self, fraction: float | None = None, *, seed: int = 0, max_bytes: int | None = None) -> Corpus:
         """A fixed fraction of the documents, or about ``max_bytes`` of them."""
         return self._then(Sample(fraction, max_bytes, seed))
 
-    def mix(self, weights: Mapping[str, float] | None = None, *, alpha: float | None = None, max_bytes: int | None = None, seed: int = 0) -> Corpus:
+    def mix(self, weights: Mapping[str, float] | None = None, *, seed: int = 0, alpha: float | None = None, max_bytes: int | None = None) -> Corpus:
         """Languages cut down to target shares, from weights or from bytes ** alpha."""
         return self._then(Mix(weights, alpha, max_bytes, seed))
 
@@ -185,7 +185,7 @@ class Corpus:
         child._forget()
         return child
 
-    # --- passes ---------------------------------------------------------------
+    # passes
 
     def _lineage(self) -> list[Corpus]:
         return [*(self._parent._lineage() if self._parent else []), self]
@@ -249,7 +249,7 @@ class Corpus:
             yield from_row(row)
         done.publish()
 
-    # --- inspection -----------------------------------------------------------
+    # inspection
 
     @property
     def history(self) -> list[manifests.HistoryEntry]:
@@ -282,9 +282,9 @@ class Corpus:
             if out is None:
                 raise IncompletePassError("No complete pass yet: run one, such as stats(), first")
             came = before or out
-            records.append(manifests.StepRecord(StepCounts(entry.op, came.documents, out.documents, came.bytes, out.bytes), node._last_selection))
+            records.append(manifests.StepRecord(StepCounts(entry.op, came.documents, came.bytes, out.documents, out.bytes), node._last_selection))
             before = out
-        return manifests.Provenance(tuple(self.history), lineage[0]._parent_info, tuple(records), manifests.ReaderReport.of(self._stream))
+        return manifests.Provenance(tuple(self.history), tuple(records), lineage[0]._parent_info, manifests.ReaderReport.of(self._stream))
 
     def stats(self) -> CorpusStats:
         return self.run_pass().stats()
@@ -293,7 +293,7 @@ class Corpus:
         """The texts in order; each iteration is a pass."""
         return _Texts(self)
 
-    # --- storage --------------------------------------------------------------
+    # storage
 
     def save(self, path: str | Path, *, overwrite: bool = False) -> CorpusStats:
         """Writes the documents and a manifest, all or nothing."""

@@ -22,17 +22,14 @@ class Section(NamedTuple):
 
 def human_bytes(size: int) -> str:
     """730 B, 4.7 kB, 5.2 GB: powers of a thousand, one decimal."""
-    if size < 1000:
-        return f"{size} B"
-    value, units = size / 1000, ["kB", "MB", "GB", "TB", "PB"]
-    while len(units) > 1 and round(value, 1) >= 1000:
-        value /= 1000
-        units.pop(0)
-    return f"{value:.1f} {units[0]}"
+    value, power = float(size), 0
+    while power < 5 and (value >= 1000 if power == 0 else round(value, 1) >= 1000):
+        value, power = value / 1000, power + 1
+    return f"{value:.1f} {' kMGTP'[power]}B" if power else f"{size} B"
 
 
 def _percent(part: int, whole: int) -> str:
-    return f"{part / whole:.1%}" if whole else _NOTHING
+    return _NOTHING if whole == 0 else format(part / whole, ".1%")
 
 
 def _totals(s: CorpusStats) -> Section:
@@ -51,7 +48,7 @@ def _shares(title: str, key: str, counts: dict[str, Any], whole: int) -> Section
 
 def _steps(s: CorpusStats) -> Section:
     body = [(x.op, f"{x.docs_in:,}", f"{x.docs_out:,}", _percent(x.docs_out, x.docs_in), human_bytes(x.bytes_in), human_bytes(x.bytes_out)) for x in s.steps]
-    return Section("Steps", ("step", "docs in", "docs out", "kept", "bytes in", "bytes out"), body, "" if body else "none")
+    return Section("Steps", tuple("step,docs in,docs out,kept,bytes in,bytes out".split(",")), body, "" if body else "none")
 
 
 def sections(s: CorpusStats) -> list[Section]:
@@ -87,6 +84,6 @@ def as_html(s: CorpusStats) -> str:
         head = f"<thead>{line(x.head, 'th', x.right)}</thead>" if x.head else ""
         body = "".join(line(cells, "td", x.right) for cells in x.body)
         if x.note:
-            body += f'<tr><td colspan="{len(x.head) or 2}"><em>{escape(x.note)}</em></td></tr>'
-        tables.append(f'<table style="margin-bottom:1em"><caption style="text-align:left"><strong>{escape(x.title)}</strong></caption>{head}<tbody>{body}</tbody></table>')
-    return f'<div class="corploom-stats"><p><strong>{escape(headline(s))}</strong></p>{"".join(tables)}</div>'
+            body += f"<tr><td colspan={len(x.head) or 2}><i>{escape(x.note)}</i></td></tr>"
+        tables.append(f"<table><caption><b>{escape(x.title)}</b></caption>{head}<tbody>{body}</tbody></table>")
+    return f'<div class="corploom-stats"><p><b>{escape(headline(s))}</b></p>{"".join(tables)}</div>'

@@ -22,8 +22,8 @@ class Counts:
 class StepCounts:
     op: str
     docs_in: int
-    docs_out: int
     bytes_in: int
+    docs_out: int
     bytes_out: int
 
 
@@ -34,16 +34,16 @@ class CorpusStats:
     Lengths are in characters, sizes in UTF-8 bytes; lengths of nothing are None.
     """
 
+    fingerprint: str
     documents: int
-    chars: int
     bytes: int
+    chars: int
+    length_mean: float | None
     length_min: int | None
     length_max: int | None
-    length_mean: float | None
-    by_lang: dict[str, Counts]
     by_source: dict[str, Counts]
+    by_lang: dict[str, Counts]
     steps: tuple[StepCounts, ...]
-    fingerprint: str
 
     def __str__(self) -> str:
         return display.as_text(self)

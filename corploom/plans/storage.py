@@ -34,27 +34,28 @@ def check_destination(destination: Path, sources: Sequence[Path], *, overwrite:
     for source in sources:
         at = source.resolve()
         if at == target or at in target.parents or target in at.parents:
-            raise UnsafeDestinationError(f"Refusing to save to {destination}: it overlaps {source}, which is being read. Save somewhere else.")
+            raise UnsafeDestinationError(f"{destination} overlaps {source}, which is being read: save to another place")
     if not destination.exists():
         return
     if not overwrite:
-        raise CorpusExistsError(f"{destination} exists; pass overwrite=True to replace it")
+        raise CorpusExistsError(f"there is a {destination} already; overwrite=True replaces it")
     held = {p.name for p in destination.iterdir()} if destination.is_dir() else set()
     if MANIFEST not in held or held - {DATA, MANIFEST}:
-        raise UnsafeDestinationError(f"Refusing to replace {destination}: it is not a saved corpus and nothing else")
+        raise UnsafeDestinationError(f"{destination} holds other things than a saved corpus, so it is not replaced")
 
 
 @contextmanager
 def replaced(path: Path) -> Iterator[Path]:
     """An empty directory beside ``path`` that takes its place at the end; on failure ``path`` is as it was."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    fresh = Path(tempfile.mkdtemp(prefix=f".{path.name}.", dir=path.parent))
+    above = path.parent
+    above.mkdir(exist_ok=True, parents=True)
+    fresh = Path(tempfile.mkdtemp(dir=above, prefix=f".{path.name}."))
     try:
         yield fresh
         if not path.exists():
             os.replace(fresh, path)
             return
-        aside = Path(tempfile.mkdtemp(prefix=f".{path.name}.old.", dir=path.parent))
+        aside = Path(tempfile.mkdtemp(dir=above, prefix=f".{path.name}.old."))
         try:
             os.replace(path, aside / path.name)
             try:

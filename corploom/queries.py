@@ -51,7 +51,7 @@ def kept(corpus: Corpus) -> DataFrame:
 WORDS = f"regexp_extract_all(lower(text), '[^{SPACES}]+')"
 
 
-# --- statistics ---------------------------------------------------------------
+# statistics
 
 
 @query("""SELECT count(*) AS documents, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes, min(length(text))::BIGINT AS length_min,
@@ -98,7 +98,7 @@ def document_identities(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).to_df().select(F.col("position").alias("doc_id"), "id", "content_hash")
 
 
-# --- filter -------------------------------------------------------------------
+# filter
 
 
 @query(f"SELECT doc_id, source FROM documents WHERE length(text) >= 100 AND regexp_matches(text, '[^{SPACES}]')")
@@ -116,7 +116,7 @@ def filter_python_predicate(spark: SparkSession, sf: str) -> DataFrame:
     return kept(documents(spark, sf).filter(lambda d: len(d.text) % 2 == 0))
 
 
-# --- dedup --------------------------------------------------------------------
+# dedup
 
 
 @query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
@@ -168,7 +168,7 @@ def short_text_near_key(spark: SparkSession, sf: str) -> DataFrame:
     return keys.where(F.size("keys") == 1).groupBy("keys").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("documents")).drop("keys")
 
 
-# --- sample, mix, split -------------------------------------------------------
+# sample, mix, split
 
 
 @query("SELECT lang, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY lang")
@@ -262,7 +262,7 @@ def split_by_source_keeps_sources_whole(spark: SparkSession, sf: str) -> DataFra
     return spark.createDataFrame([(train.union(held).distinct().count(), train.count() + held.count())], "sources long, sides long")
 
 
-# --- sources and sinks --------------------------------------------------------
+# sources and sinks
 
 
 @query("""SELECT 0 AS stream, doc_id AS position, strlen(text)::BIGINT AS bytes FROM documents
@@ -304,7 +304,7 @@ def save_and_load(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("position").alias("doc_id"), "source", F.coalesce("lang", F.lit("")).alias("lang"), "text")
 
 
-# --- streams ------------------------------------------------------------------
+# streams
 
 
 @query(f"SELECT doc_id, source FROM documents WHERE length(text) >= 100 AND regexp_matches(text, '[^{SPACES}]')")

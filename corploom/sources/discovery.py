@@ -41,7 +41,7 @@ def discover(path: Path, options: ReadOptions, formats: FormatRegistry) -> Found
     if path.is_file():
         return Found((FoundFile(path.name, path, kind(path.name)),))
     if not path.is_dir():
-        raise SourceNotFoundError(f"No such file or directory: {path}")
+        raise SourceNotFoundError(f"there is nothing at {path}")
     files, skipped = [], []
     for at in _visible(path):
         relative = at.relative_to(path).as_posix()
@@ -61,7 +61,7 @@ def notices(label: str, found: Found, glob: str | None) -> Iterator[str]:
         more = ", ..." if len(kinds) > _LISTED else ""
         yield (
             f"{label}: skipped {len(found.skipped)} file(s) with unsupported extensions ({', '.join(kinds[:_LISTED])}{more}). "
-            "Pass format='text' to read them as raw text, one document per file."
+            "With format='text' each of them is one document, read as it is."
         )
     if not found.files:
         yield f"{label}: found no readable files{f' matching glob {glob!r}' if glob else ''}; the stream is empty."

@@ -26,7 +26,7 @@ class FormatRegistry:
 
     def require(self, name: str) -> str:
         if name not in self._parsers:
-            raise UnsupportedFormatError(f"format must be one of {self.names}, got {name!r}")
+            raise UnsupportedFormatError(f"there is no format {name!r} among {self.names}")
         return name
 
     def _of(self, filename: str) -> str | None:
@@ -40,7 +40,7 @@ class FormatRegistry:
         """The format of the longest extension that the name ends with."""
         found = self._of(filename)
         if found is None:
-            raise UnsupportedFormatError(f"Unknown file type: {filename!r}. Pass format= one of {self.names}.")
+            raise UnsupportedFormatError(f"no format goes by the name of {filename!r}; say one with format=, of {self.names}")
         return found
 
     def parser(self, name: str) -> parsing.Parser:

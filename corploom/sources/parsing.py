@@ -9,11 +9,10 @@ from __future__ import annotations
 import csv
 import gzip
 import json
-import sys
-from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from pathlib import Path
-from typing import Any, TextIO
+from sys import maxsize
+from typing import Any, Callable, Iterable, Iterator, Mapping, TextIO
 
 from corploom.document import Document, canonical_json
 from corploom.errors import CorploomError, MissingTextFieldError, ReadError
@@ -23,7 +22,7 @@ from corploom.sources.options import ReadOptions
 Record = tuple[int, str | None, str, int | None, str | None, str | None, str | None, str | None, str | None]
 
 _SET_FIELD = "set text_field= to the field that holds the text"
-_READ_RAW = "or pass format='text' to read the whole file as one raw document"
+_READ_RAW = "or format='text', to take the file as one document as it is"
 
 
 def metadata_json(metadata: Mapping[Any, Any]) -> tuple[str, str | None]:
@@ -110,9 +109,8 @@ Parser = Callable[[Path, SourceParser], Iterator[Record]]
 
 def open_text(path: Path, newline: str = "\n") -> TextIO:
     """Strict UTF-8 without its byte order mark, unpacked if the name ends in .gz; only newline ends a line."""
-    if path.name.lower().endswith(".gz"):
-        return gzip.open(path, "rt", encoding="utf-8-sig", newline=newline)
-    return open(path, encoding="utf-8-sig", newline=newline)
+    opener = gzip.open if path.suffix.lower() == ".gz" else open
+    return opener(path, mode="rt", newline=newline, encoding="utf-8-sig")
 
 
 def parse_text(path: Path, source: SourceParser) -> Iterator[Record]:
@@ -140,10 +138,10 @@ def parse_jsonl(path: Path, source: SourceParser) -> Iterator[Record]:
 
 def parse_delimited(path: Path, source: SourceParser) -> Iterator[Record]:
     source.can_be_raw = True
-    widest = min(sys.maxsize, 2**31 - 1)
+    widest = min(maxsize, 2**31 - 1)
     if csv.field_size_limit() < widest:
         csv.field_size_limit(widest)
-    delimiter = source.options.delimiter or ("\t" if path.name.lower().endswith(".tsv") else ",")
+    delimiter = source.options.delimiter or {".tsv": "\t"}.get(path.suffix.lower(), ",")
     with open_text(path, newline="") as file:
         for n, row in enumerate(csv.DictReader(file, delimiter=delimiter)):
             yield source.row(n, row)
@@ -153,8 +151,8 @@ def parquet_columns(options: ReadOptions, available: list[str]) -> list[str]:
     """The columns that a read of these needs."""
     if options.metadata_fields == "all":
         return available
-    wanted = dict.fromkeys([options.text_field, options.lang_field, *(options.metadata_fields or ())])
-    return [c for c in wanted if c and c in available]
+    own = {options.text_field, options.lang_field}.union(options.metadata_fields or ())
+    return [c for c in available if c in own]
 
 
 def parse_parquet(path: Path, source: SourceParser) -> Iterator[Record]:

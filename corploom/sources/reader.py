@@ -74,7 +74,7 @@ def _local_frame(spark: SparkSession, unit: int, records: Iterable[parsing.Recor
     return spark.read.schema(_SCHEMA).parquet(path)
 
 
-# --- files --------------------------------------------------------------------
+# files
 
 
 def _parsed_files(spark: SparkSession, files: list[tuple[int, FoundFile, str]], options: ReadOptions, formats: FormatRegistry) -> DataFrame:
@@ -175,7 +175,7 @@ def _open_path(path: Path, name: str | None, options: ReadOptions, formats: Form
     return DocumentStream(make, lambda: [prefix + f.relative for f in discover(path, options, formats).files], options.on_error, Traits(paths=(path,)))
 
 
-# --- other sources ------------------------------------------------------------
+# other sources
 
 
 def _open_hub(dataset: str, options: ReadOptions, hub: DatasetHub) -> DocumentStream:
@@ -199,12 +199,12 @@ def _open_hub(dataset: str, options: ReadOptions, hub: DatasetHub) -> DocumentSt
 
 def _open_iterable(source: Any, name: str | None, options: ReadOptions) -> DocumentStream:
     if name is None:
-        raise ConfigurationError("Iterable sources need name=..., or document ids of different ones could collide")
+        raise ConfigurationError("an iterable needs a name=, since document ids are made from it")
 
     def make(spark: SparkSession, first: int, report: PassReport) -> tuple[DataFrame, int]:
         items = source() if callable(source) else source
         if not isinstance(items, Iterable):
-            raise ConfigurationError(f"Expected an iterable, got {type(items).__name__}")
+            raise ConfigurationError(f"the function gave a {type(items).__name__}, which cannot be iterated")
         parser = parsing.SourceParser(name, options)
         return _local_frame(spark, first, parser.guarded(parser.items(items))), first + 1
 
@@ -244,7 +244,7 @@ def chain(streams: Sequence[DocumentStream], on_error: str = "warn") -> Document
     names = [n for s in streams for n in s.source_names()]
     twice = sorted(n for n, k in Counter(names).items() if k > 1)
     if twice:
-        raise DuplicateSourceError(f"Sources would share names {twice[:5]}; give each source a distinct name=...")
+        raise DuplicateSourceError(f"these names belong to more than one source: {twice[:5]}; tell them apart with name=")
 
     def make(spark: SparkSession, first: int, report: PassReport) -> tuple[DataFrame, int]:
         frames = []
@@ -287,7 +287,7 @@ class Reader:
             raise ConfigurationError("read a DataFrame with from_table(), which names its columns")
         if callable(source) or isinstance(source, Iterable):
             return _open_iterable(source, name, options)
-        raise ConfigurationError(f"Cannot read a source of type {type(source).__name__}")
+        raise ConfigurationError(f"nothing here reads a source of type {type(source).__name__}")
 
 
 DEFAULT_READER = Reader()
