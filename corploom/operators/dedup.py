@@ -70,6 +70,13 @@ def first_of_near(keys: DataFrame) -> DataFrame:
     return dropped if dropped is not None else shared.select("_ord").limit(0)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, over all cores; keys cost far more than moving their texts."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    few = len(rows._jdf.inputFiles()) < cores
+    return rows.select("_ord", "text").repartition(cores, "_ord") if few else rows
+
+
 @dataclass(frozen=True)
 class Dedup:
     threshold: float | None = None
@@ -98,7 +105,7 @@ class Dedup:
         """(key, _ord): one row a key and document."""
         if self.threshold is None:
             return rows.select(digest().alias("key"), "_ord")
-        return rows.select(F.explode(near.near_keys(F.col("text"), self.threshold)).alias("key"), "_ord")
+        return spread(rows).select(F.explode(near.near_keys(F.col("text"), self.threshold)).alias("key"), "_ord")
 
     def mark(self, frame: DataFrame, context: StepContext) -> DataFrame:
         rows = frame.where(alive())
