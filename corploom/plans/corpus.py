@@ -217,13 +217,17 @@ class Corpus:
             rows = frame.where(f"{GONE} is null").groupBy("lang").agg(sizes, F.min("_ord").alias("first")).orderBy("first").collect()
             self._bytes_by_lang = {r.lang: r.bytes for r in rows}
 
-    def run_pass(self, shown: set[str] | None = None) -> Pass:
-        """One complete pass over the data; its results are published by whoever asked for it."""
-        shown = set() if shown is None else shown
+    def run_pass(self, *, fingerprint: bool = True) -> Pass:
+        """One complete pass over the data; its results are published by whoever asked for it.
+
+        Without ``fingerprint`` no content is hashed, so a chain of JVM steps runs no Python at all.
+        """
+        shown: set[str] = set()
         self._prepare(shown)
         report = PassReport(shown)
         source, frame, contexts = self._frame(report)
-        hashed = F.when(F.col(GONE).isNull(), hashing.content_hash(F.coalesce("text", F.lit(""))))
+        hashed = hashing.content_hash(F.coalesce("text", F.lit(""))) if fingerprint else F.lit(None).cast("string")
+        hashed = F.when(F.col(GONE).isNull(), hashed)
         slim = frame.select(
             "_ord", GONE, "lang", "source", "position", source_group(F.col("source")).alias("group"), F.length("text").cast("long").alias("chars"),
             F.octet_length("text").cast("long").alias("bytes"), hashed.alias("content_hash"), "_bad", "_err_level", "_err_message",
@@ -234,7 +238,7 @@ class Corpus:
 
     def to_df(self) -> DataFrame:
         """The kept documents of a new pass as a DataFrame, with ids and content hashes; `position` and `source` order them."""
-        done = self.run_pass()
+        done = self.run_pass(fingerprint=False)
         done.publish()
         rows = done.documents()
         return rows.select(
@@ -244,7 +248,7 @@ class Corpus:
 
     def __iter__(self) -> Iterator[Document]:
         """One pass, documents in order. Its results are published once all have been taken."""
-        done = self.run_pass()
+        done = self.run_pass(fingerprint=False)
         for row in done.documents().orderBy("_ord").toLocalIterator():
             yield from_row(row)
         done.publish()

@@ -45,7 +45,7 @@ def benchmark(spark: SparkSession, sf: str) -> Corpus:
 
 def kept(corpus: Corpus) -> DataFrame:
     """(doc_id, source) of what one pass keeps."""
-    return corpus.run_pass().kept().select(F.col("position").alias("doc_id"), "source")
+    return corpus.run_pass(fingerprint=False).kept().select(F.col("position").alias("doc_id"), "source")
 
 
 WORDS = f"regexp_extract_all(lower(text), '[^{SPACES}]+')"
@@ -69,12 +69,12 @@ def _counts(done: Pass, key: str) -> DataFrame:
 
 @query("SELECT coalesce(lang, 'und') AS key, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
 def stats_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    return _counts(documents(spark, sf).run_pass(), "lang")
+    return _counts(documents(spark, sf).run_pass(fingerprint=False), "lang")
 
 
 @query("SELECT split_part(source, '/', 1) AS key, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
 def stats_by_source_group(spark: SparkSession, sf: str) -> DataFrame:
-    return _counts(documents(spark, sf).run_pass(), "group")
+    return _counts(documents(spark, sf).run_pass(fingerprint=False), "group")
 
 
 @query(f"""WITH f AS (SELECT * FROM documents WHERE length(text) >= 500 AND regexp_matches(text, '[^{SPACES}]')),
@@ -187,7 +187,7 @@ def sample_budget_fraction(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT 0::BIGINT AS none, count(*) AS everything FROM documents")
 def sample_fraction_edges(spark: SparkSession, sf: str) -> DataFrame:
-    none, all_ = (documents(spark, sf).sample(f).run_pass().counts_out[0] for f in (0.0, 1.0))
+    none, all_ = (documents(spark, sf).sample(f).run_pass(fingerprint=False).counts_out[0] for f in (0.0, 1.0))
     return spark.createDataFrame([(none, all_)], "none long, everything long")
 
 
@@ -268,14 +268,14 @@ def split_by_source_keeps_sources_whole(spark: SparkSession, sf: str) -> DataFra
 @query("""SELECT 0 AS stream, doc_id AS position, strlen(text)::BIGINT AS bytes FROM documents
           UNION ALL SELECT 1, item_id, strlen(text)::BIGINT FROM benchmark""")
 def chain_union_all(spark: SparkSession, sf: str) -> DataFrame:
-    rows = Corpus(chain([documents(spark, sf)._stream, benchmark(spark, sf)._stream])).run_pass().kept()
+    rows = Corpus(chain([documents(spark, sf)._stream, benchmark(spark, sf)._stream])).run_pass(fingerprint=False).kept()
     return rows.select(F.when(F.col("source") == "benchmark", 1).otherwise(0).alias("stream"), "position", "bytes")
 
 
 @query("SELECT doc_id - (SELECT min(doc_id) FROM documents) AS position, lang, strlen(text)::BIGINT AS bytes FROM documents")
 def read_parquet_by_position(spark: SparkSession, sf: str) -> DataFrame:
     path = Path(sf) / "documents.parquet"
-    rows = Corpus(read(path, lang_field="lang", on_error="skip")).run_pass().kept()
+    rows = Corpus(read(path, lang_field="lang", on_error="skip")).run_pass(fingerprint=False).kept()
     return rows.select("position", "lang", "bytes")
 
 
