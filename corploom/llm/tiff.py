@@ -24,6 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corploom.llm import blocks
+from corploom.llm.shared import bound_batches
+
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
@@ -361,7 +364,9 @@ def store_payload(raw: bytes, p: PayloadParameters) -> bytes:
 def store_texts(docs: DataFrame, p: PayloadParameters | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes and media, a TIFF of the text's UTF-8 bytes, of every row."""
     p = p or PayloadParameters()
+    bound_batches(docs.sparkSession)
 
+    @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -380,8 +385,10 @@ def decode_pages(media: DataFrame, media_column: str = "media", *, keep: tuple[s
     """One row per page of each TIFF, with the kept columns, in page order and with no other row between."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*keep).schema), _PAGE_FIELDS])
     names = [*keep, *(x.split()[0] for x in _PAGE_FIELDS.split(", "))]
+    bound_batches(media.sparkSession)
     kinds = [pa.int32()] * 7 + [pa.binary(), pa.int64(), pa.string(), pa.string()]
 
+    @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -407,6 +414,7 @@ def page_features(pages: DataFrame) -> DataFrame:
     """Per stored payload, from its consecutive page rows: digests of the bytes read back, and their statistics."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
+    @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha, size, total, square, pages_, bends = hashlib.sha256(), 0, 0, 0, 0, 0
         for batch in batches:
