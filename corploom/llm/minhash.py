@@ -292,6 +292,8 @@ def near_duplicates(docs: DataFrame, p: NearParameters | None = None, *, id_colu
         found = _by_sets(more, texts, p)
         edges = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(found)
         labels = shared.written(components(edges), "near-labels")
+    for table in (buckets, members, star, texts, links, hidden, more):
+        shared.forget(table)
     whole = shared.lookup(reps, labels_or_self(reps, labels), "rep")
     return scanned.select("doc_id", "n_shingles").join(_by_id(whole), "doc_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id")
