@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corploom.llm import blocks
+from corploom.llm.shared import bound_batches
 
 
 @dataclass(frozen=True)
@@ -130,7 +131,9 @@ def _add_up(parts: DataFrame, keys: list[str]) -> DataFrame:
 def learn(docs: DataFrame, p: ProfileParameters | None = None, *, text_column: str = "text", label_column: str = "lang") -> Prototypes:
     """Prototypes of all labels from all given rows."""
     p = p or ProfileParameters()
+    bound_batches(docs.sparkSession)
 
+    @blocks.tidy
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -161,9 +164,11 @@ def learn(docs: DataFrame, p: ProfileParameters | None = None, *, text_column: s
 def identify(docs: DataFrame, prototypes: Prototypes, p: ProfileParameters | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (the cosine, from 0 to 1) of every row, from its text alone."""
     p = p or ProfileParameters()
+    bound_batches(docs.sparkSession)
     names = np.array([*prototypes.languages, "und"], object)
     shared = docs.sparkSession.sparkContext.broadcast(prototypes.vectors)
 
+    @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = np.full(batch.num_rows, len(names) - 1)
