@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corploom.llm import shared
+from corploom.llm import blocks, shared
 
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -90,6 +90,7 @@ def write_archive(
     pages: DataFrame, *, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", id_column: str = "page_id", url_column: str = "url", payload_column: str = "html"
 ) -> Archive:
     """Writes one record a row into tables in the shared folder."""
+    shared.bound_batches(pages.sparkSession)
     payload = F.coalesce(pages[payload_column], F.lit("")).cast("binary")
     keyed = pages.select(pages[id_column].cast("long").alias("page_id"), pages[url_column].alias("url"), payload.alias("payload"))
     digest = F.unhex(F.sha2("payload", 256)).alias("digest")
@@ -102,6 +103,7 @@ def write_archive(
     rest = met.where(~(big & least)).withColumn("stored", ~big)
     records = heads.unionByName(rest).select("page_id", "digest", "stored", "url", "size", "sha1", F.when(~F.col("stored"), F.col("first")).alias("refers_to"))
 
+    @blocks.tidy
     def head_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             page, digest_, stored, url, size, sha1, refers = (batch.column(k).to_pylist() for k in range(7))
@@ -110,6 +112,7 @@ def write_archive(
 
     headers = shared.written(records.mapInArrow(head_rows, "page_id long, digest binary, stored boolean, header binary"), "warc-headers")
 
+    @blocks.tidy
     def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
@@ -122,6 +125,7 @@ def write_archive(
 def responses(archive: Archive) -> DataFrame:
     """Every response as (page_id, digest, record): the whole original record, joined back together."""
 
+    @blocks.tidy
     def join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -141,6 +145,7 @@ def responses(archive: Archive) -> DataFrame:
 def read_archive(archive: Archive) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record, from the archive's bytes."""
 
+    @blocks.tidy
     def parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, sums = [], []
@@ -153,6 +158,7 @@ def read_archive(archive: Archive) -> DataFrame:
                 sums.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums)], names=["page_id", "digest", "payload_bytes", "payload_digest"])
 
+    @blocks.tidy
     def refer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             refers, sums = [], []
