@@ -31,6 +31,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corploom.llm import blocks
+from corploom.llm.shared import bound_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.DOTALL)
 _OPENS = re.compile(r"<(\\*)\|")
@@ -139,28 +142,43 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
         yield key, turns
 
 
+def _lists(rows: tuple[np.ndarray, ...]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32), pa.array(np.concatenate(rows)))
+
+
+def _formatted_batch(rows: list[tuple]) -> pa.RecordBatch:
+    conv, part, n_turns, formatted, ids, on, starts, ends, spans = zip(*rows)
+    plain = [pa.array(conv, pa.int64()), pa.array(part, pa.int64()), pa.array(n_turns, pa.int64()), pa.array(formatted)]
+    pairs = pa.array([[list(s) for s in under] for under in spans], pa.list_(pa.list_(pa.int32())))
+    names = ["conv_id", "part", "n_turns", "formatted", "input_ids", "loss_mask", "token_starts", "token_ends", "loss_spans"]
+    return pa.RecordBatch.from_arrays([*plain, *map(_lists, (ids, on, starts, ends)), pairs], names=names)
+
+
 def format_conversations(
     rows: DataFrame, tokenizer_path: str, p: ChatParameters | None = None, *,
     id_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text",
 ) -> DataFrame:
     """One row per conversation part with its string, ids, token spans, loss mask and loss spans."""
     p = p or ChatParameters()
+    bound_batches(rows.sparkSession)
 
+    @blocks.tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
+        held: list[tuple] = []
+        chars = 0
         for (conv, part), turns in _groups(batches):
             formatted, spans = render(turns, p.learn_roles)
             e = tokenizer.encode(formatted, add_special_tokens=False)
             starts, ends = token_spans(e.offsets)
             on, under = mask(starts, ends, spans)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([conv], pa.int64()), pa.array([part], pa.int64()), pa.array([len(turns)], pa.int64()), pa.array([formatted]),
-                    pa.array([e.ids], pa.list_(pa.int32())), pa.array([on.tolist()], pa.list_(pa.bool_())), pa.array([starts.tolist()], pa.list_(pa.int32())),
-                    pa.array([ends.tolist()], pa.list_(pa.int32())), pa.array([[list(s) for s in under]], pa.list_(pa.list_(pa.int32()))),
-                ],
-                names=["conv_id", "part", "n_turns", "formatted", "input_ids", "loss_mask", "token_starts", "token_ends", "loss_spans"],
-            )
+            held.append((conv, part, len(turns), formatted, np.array(e.ids, np.int32), on, starts.astype(np.int32), ends.astype(np.int32), under))
+            chars += len(formatted)
+            if chars > 1 << 20:
+                yield _formatted_batch(held)
+                held, chars = [], 0
+        if held:
+            yield _formatted_batch(held)
 
     turn = rows[turn_column].cast("long")
     part = F.floor(turn / p.part_turns).cast("long")
@@ -176,29 +194,33 @@ def digests(formatted: DataFrame) -> DataFrame:
     more memory than one part.
     """
 
+    @blocks.tidy
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             packed = [pack(t.encode()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), batch.column(3)], names=["conv_id", "part", "packed", "loss_spans"])
 
+    @blocks.tidy
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        state, started = None, False
+        state: list | None = None
+        done: list[tuple] = []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-        def row() -> pa.RecordBatch:
-            conv, n, turns, loss_chars, loss, chars = state
-            return pa.RecordBatch.from_arrays(
-                [pa.array([conv], pa.int64()), pa.array([n]), pa.array([turns.hexdigest()]), pa.array([loss_chars]), pa.array([loss.hexdigest()]), pa.array([chars])],
-                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
-            )
+        def finished(s: list) -> tuple:
+            return s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]
 
         for batch in batches:
             for conv, packed, spans in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                if not started or state[0] != conv:
-                    if started:
-                        yield row()
-                    state, started = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], True
+                if state is None or state[0] != conv:
+                    if state is not None:
+                        done.append(finished(state))
+                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 text = unpack(packed).decode()
                 for role, said in read_back(text):
                     state[1] += 1
@@ -208,8 +230,11 @@ def digests(formatted: DataFrame) -> DataFrame:
                     state[3] += len(learnt)
                     state[4].update(learnt.encode())
                 state[5] += len(text)
-        if started:
-            yield row()
+            if done:
+                yield batch_of(done)
+                done = []
+        if state is not None:
+            yield batch_of([*done, finished(state)])
 
     small = formatted.select("conv_id", "part", "formatted", "loss_spans").mapInArrow(shrink, "conv_id long, part long, packed binary, loss_spans array<array<int>>")
     placed = small.repartition("conv_id").sortWithinPartitions("conv_id", "part")
