@@ -38,6 +38,7 @@ class PassReport:
 
     shown: set[str] = field(default_factory=set)
     errors: list[ReadError] = field(default_factory=list)
+    error_rows: DataFrame | None = field(default=None, compare=False)
     errors_by_level: dict[str, int] = field(default_factory=dict)
     errors_by_source: dict[str, int] = field(default_factory=dict)
     skipped: list[str] = field(default_factory=list)
@@ -78,6 +79,11 @@ class DocumentStream:
     def errors(self) -> list[ReadError]:
         return self.last_pass.errors
 
+    @property
+    def error_rows(self) -> DataFrame | None:
+        """All errors of the last complete pass, in order, where `errors` has the first ones only."""
+        return self.last_pass.error_rows
+
     @property
     def skipped(self) -> list[str]:
         return self.last_pass.skipped
@@ -101,28 +107,34 @@ class DocumentStream:
     def settle(self, errors: DataFrame, report: PassReport) -> None:
         """Handles the error rows of a pass, each as the `on_error` of the stream it came from says."""
         unit = F.shiftright("_ord", ROW_BITS).alias("unit")
-        counts = errors.groupBy("source", "_err_level", unit).agg(F.count("*").alias("n"), F.min("_ord").alias("at")).orderBy("at").collect()
+        first = F.min_by(F.struct("source", "position", "_err_level", "_err_message"), "_ord").alias("first")
+        counts = errors.groupBy("source", "_err_level", unit).agg(F.count("*").alias("n"), F.min("_ord").alias("at"), first).orderBy("at").collect()
         by_level, by_source = Counter(), Counter()
         for r in counts:
             by_level[r["_err_level"]] += r.n
             by_source[r.source] += r.n
         report.errors_by_level, report.errors_by_source = dict(by_level), dict(by_source)
+        listed = errors.orderBy("_ord")
+        report.error_rows = listed.select("source", "position", F.col("_err_level").alias("level"), F.col("_err_message").alias("message"))
+        for r in counts:
+            if report.policy_of(r.unit) == "raise":
+                raise _error(r.first)
         if not counts:
             return
-        rows = errors.orderBy("_ord").limit(KEPT_ERRORS).collect()
+        rows = listed.limit(KEPT_ERRORS).collect()
         report.errors = [_error(r) for r in rows]
-        for row, error in zip(rows, report.errors):
-            if report.policy_of(row["_ord"] >> ROW_BITS) == "raise":
-                raise error
+        of_files = [e for e in report.errors if e.level == "file"]
+        if len(of_files) < by_level["file"]:
+            of_files = [_error(r) for r in listed.where("_err_level = 'file'").collect()]
         for r in counts:
             if report.policy_of(r.unit) != "warn":
                 continue
-            mine = [e for e in report.errors if e.source == r.source and e.level == r["_err_level"]]
             if r["_err_level"] == "file":
-                for e in mine:
-                    warn(str(e), report.shown)
+                for e in of_files:
+                    if e.source == r.source:
+                        warn(str(e), report.shown)
             else:
-                warn(f"{r.source}: skipped {r.n} row(s); first: {mine[0] if mine else ''}", report.shown)
+                warn(f"{r.source}: skipped {r.n} row(s); first: {_error(r.first)}", report.shown)
 
     def __iter__(self) -> Iterator[Document]:
         """One pass of its own."""

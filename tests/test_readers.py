@@ -18,6 +18,7 @@ from corploom.errors import (
     SourceNotFoundError,
     UnsupportedFormatError,
 )
+from corploom.sources import stream as stream_module
 from corploom.sources.formats import default_formats
 from corploom.sources.reader import Reader
 
@@ -128,6 +129,21 @@ def test_several_sources_chain_and_must_differ_in_name(tmp_path):
     assert [d.text for d in chain([read(["x"], name="1"), read(["y"], name="2")])] == ["x", "y"]
 
 
+def test_errors_beyond_the_listed_ones_still_count(tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_module, "KEPT_ERRORS", 3)
+    for name in ("x", "y"):
+        (tmp_path / f"{name}.jsonl.gz").write_bytes(b"not gzip")
+    skips = lambda: read([5] * 4, name="many", on_error="skip")
+    with pytest.raises(ReadError, match="late#1: expected an object/row, got int"):
+        list(chain([skips(), read(["fine", 5, 6], name="late", on_error="raise")]))
+    with pytest.raises(ReadError, match="late#1"):
+        Corpus(chain([skips(), read(["fine", 5, 6], name="late", on_error="raise")])).stats()
+    both = chain([skips(), read(tmp_path), read(["ok", 7], name="rows")])
+    docs, said = quiet(both)
+    assert [d.text for d in docs] == ["ok"] and len(both.errors) == 3 and both.error_rows.count() == 7
+    assert [s.split(":")[0] for s in said] == ["x.jsonl.gz", "y.jsonl.gz", "rows"] and "first: rows#1: expected" in said[2]
+
+
 def test_settings_fail_before_anything_is_read(tmp_path):
     for wrong in ({"unit": "page"}, {"on_error": "ignore"}, {"text_field": ""}, {"lang": ""}, {"metadata_fields": "src"}, {"format": "xml"}, {"nonsense": 1}):
         with pytest.raises(ConfigurationError):
