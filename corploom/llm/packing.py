@@ -8,6 +8,10 @@ as it is made, so rows stream out, nothing shuffles, and memory does not depend
 on the size of the input; a sequence never spans tasks, so a task that is run
 again replaces all of its sequences together.
 
+Where the order of the rows carries a schedule, `in_order` keeps it: sequences
+are numbered by file and row instead of by task, since Spark deals splits to
+tasks by size, and pieces are offered in row order.
+
 Cases: a null or empty text is the end token alone; only a document over the
 capacity is cut, into full pieces and a shorter last one; repeated rows are
 packed each for itself; an empty table gives an empty result; other columns are
@@ -192,31 +196,92 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+#: Bits of a sequence's number below those of its file: the split of the file, and the sequence in the split.
+_SPLIT_BITS, _NUMBER_BITS = 17, 26
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether the rows are those of files as they are read, with no shuffle between."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+
+
+def _by_part(path: str) -> list[str | int]:
+    return [int(x) if x.isdecimal() else x for x in re.split(r"(\d+)", path)]
+
+
+def _one_slash(path: str) -> str:
+    """Local files are named file:/x in metadata and file:///x by the table."""
+    return re.sub(":/+", ":/", path, count=1)
+
+
+def _file_numbers(docs: DataFrame) -> dict[str, int]:
+    files = sorted(docs.inputFiles(), key=_by_part)
+    if len(files) >> (63 - _SPLIT_BITS - _NUMBER_BITS):
+        raise ValueError(f"{len(files)} files are too many to number sequences by")
+    return {_one_slash(path): n for n, path in enumerate(files)}
+
+
+def _split_unit(docs: DataFrame) -> int:
+    """Bytes that every split of a file but its last has at least."""
+    conf = docs.sparkSession._jsparkSession.sessionState().conf()
+    return max(1, min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()))
+
+
+def _runs(batch: pa.RecordBatch, files: dict[str, int], unit: int) -> Iterator[tuple[int, int, int]]:
+    """First sequence number, first row and end of the rows of each split in a batch."""
+    paths = batch.column(2).dictionary_encode()
+    number = np.array([files[_one_slash(x)] for x in paths.dictionary.to_pylist()], np.int64)[paths.indices.to_numpy()]
+    split = batch.column(3).to_numpy() // unit
+    if split.max() >> _SPLIT_BITS:
+        raise ValueError("a file has too many splits to number sequences by")
+    first = (number << (_SPLIT_BITS + _NUMBER_BITS)) | (split << _NUMBER_BITS)
+    cuts = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), len(first)]
+    for i, j in zip(cuts, cuts[1:]):
+        yield int(first[i]), i, j
+
+
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, open_bins: int = 1024, slice_bytes: int = 4 << 20,
-    id_column: str = "doc_id", text_column: str = "text",
+    in_order: bool = False, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """One row per piece with its ids (little-endian unsigned 32-bit) and its place in a sequence.
 
     The tokenizer must be one whose tokens never span white space.  Pieces that
     arrive in one slice of `slice_bytes` of text are offered longest first.
+    With `in_order` they are offered as they come, and sequence numbers follow
+    file names and rows, or partitions and rows where `docs` is not a plain
+    read of files; fewer `open_bins` then hold the order more tightly.
     """
     shared.bound_batches(docs.sparkSession)
+    columns = [docs[id_column], docs[text_column]]
+    files, unit = None, 1
+    if in_order and _is_scan(docs):
+        files, unit, at = _file_numbers(docs), _split_unit(docs), docs.metadataColumn("_metadata")
+        columns += [at["file_path"].alias("__file"), at["file_block_start"].alias("__split")]
 
     @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
-        bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 36)
+        first = TaskContext.get().partitionId() << 36
+        bins, current = BestFit(capacity, open_bins, first), first
         for batch in batches:
-            data, offsets, _ = blocks.utf8(batch.column(1))
-            doc_ids = batch.column(0).cast(pa.int64())
-            for i, j in blocks.row_slices(offsets, slice_bytes):
-                yield _pack_rows(doc_ids.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tokenizer, bins, end_id)
+            if not batch.num_rows:
+                continue
+            for first, k, end in [(first, 0, batch.num_rows)] if files is None else _runs(batch, files, unit):
+                if first != current:
+                    bins, current = BestFit(capacity, open_bins, first), first
+                data, offsets, _ = blocks.utf8(batch.column(1).slice(k, end - k))
+                doc_ids = batch.column(0).slice(k, end - k).cast(pa.int64())
+                for i, j in blocks.row_slices(offsets, slice_bytes):
+                    yield _pack_rows(doc_ids.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tokenizer, bins, end_id, in_order)
 
-    return docs.select(docs[id_column], docs[text_column]).mapInArrow(rows, SCHEMA)
+    return docs.select(*columns).mapInArrow(rows, SCHEMA)
 
 
-def _pack_rows(doc_ids: pa.Array, data: np.ndarray, offsets: np.ndarray, tokenizer: WordTokenizer, bins: BestFit, end_id: int) -> pa.RecordBatch:
+def _pack_rows(doc_ids: pa.Array, data: np.ndarray, offsets: np.ndarray, tokenizer: WordTokenizer, bins: BestFit, end_id: int, in_order: bool) -> pa.RecordBatch:
     ids, at = tokenizer.encode(data, offsets)
     n = len(at) - 1
     ids = np.insert(ids, at[1:], np.uint32(end_id)).astype("<u4")
@@ -229,7 +294,7 @@ def _pack_rows(doc_ids: pa.Array, data: np.ndarray, offsets: np.ndarray, tokeniz
     length = np.minimum(lengths[owner] - start, bins.capacity)
     sequence, offset = np.empty(len(owner), np.int64), np.empty(len(owner), np.int64)
     sizes = length.tolist()
-    for k in np.argsort(-length, kind="stable").tolist():
+    for k in range(len(sizes)) if in_order else np.argsort(-length, kind="stable").tolist():
         sequence[k], offset[k] = bins.place(sizes[k])
     bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int64) * 4
     blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(owner), [None, pa.py_buffer(bounds), pa.py_buffer(ids)]).cast(pa.binary())

@@ -37,8 +37,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece: its token ids and its place in a sequence."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """One row per piece: its token ids and its place in a sequence; sequences are numbered in the order of the mixed rows."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), in_order=True, open_bins=16)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -321,3 +321,34 @@ def test_the_pipeline_stage_by_stage(spark):
 def test_digests_match_texts(odd_docs):
     out = substring.drop_repeated_passages(odd_docs.select("doc_id", "text"), counts=True).select("text", F.sha2("text", 256).alias("h"))
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.h for r in out.collect())
+
+
+def test_sequences_follow_the_schedule_of_the_mixed_sources(spark, tmp_path):
+    """A hot source, and files whose sizes are not in the order of their names."""
+    import corpus_pipeline
+
+    texts = ["word " * (3000 - k if k < 1500 else 20 + k % 700) for k in range(6000)]
+    rows = [(k, texts[k], "en", "hot" if k % 3 else f"s{k % 5}", len(texts[k])) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)
+    source = {r[0]: r[3] for r in rows}
+    off = {r.doc_id for r in mixing.mix_sources(docs).where("not on_target").collect()}
+    stage["mixed sources"](spark, docs, "").write.option("maxRecordsPerFile", 700).parquet(f"{tmp_path}/mixed")
+    pieces = stage["packed sequences"](spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    check_packing(pieces, [r[:2] for r in rows], 2048)
+    first = {}
+    for r in pieces:
+        first[r.doc_id] = min(r.sequence_id, first.get(r.doc_id, r.sequence_id))
+    weights = {s: n**0.5 for s, n in Counter(source.values()).items()}
+    total, done, seen = sum(weights.values()), Counter(), 0
+    by_sequence = defaultdict(list)
+    for d, s in first.items():
+        by_sequence[s].append(d)
+    for s in sorted(by_sequence):
+        if off & set(by_sequence[s]):
+            break
+        done.update(source[d] for d in by_sequence[s])
+        seen += len(by_sequence[s])
+        # A block of 16 for the schedule, half of one for sequences still open.
+        assert all(abs(done[x] - seen * weights[x] / total) < 24 for x in weights)
+    assert seen > 1000
