@@ -11,7 +11,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import wraps
+from functools import cached_property, wraps
 from typing import Any
 
 import numpy as np
@@ -49,9 +49,8 @@ def tidy(rows: Callable[[Any], Iterator[Any]]) -> Callable[[Any], Iterator[Any]]
     return run
 
 
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-_MASK = (1 << 64) - 1
-_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+_MULTIPLIERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,59 +94,73 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 16, 1 << (size - 1).bit_length())
-    if (which, size) not in _powers:
-        base, inverse = _BASES[which], pow(_BASES[which], -1, 1 << 64)
+    """Powers of a multiplier and of its inverse modulo 2**64."""
+    if which not in _powers or len(_powers[which][0]) < size:
+        size = max(1 << 16, 1 << (size - 1).bit_length())
         tables = []
-        for b in (base, inverse):
-            t = np.full(size, b, U64)
+        for base in (_MULTIPLIERS[which], pow(_MULTIPLIERS[which], -1, 1 << 64)):
+            t = np.full(size, base, U64)
             t[0] = 1
             tables.append(np.multiply.accumulate(t))
-        for key in [k for k in _powers if k[0] == which]:
-            del _powers[key]
-        _powers[which, size] = tuple(tables)
-    return _powers[which, size]
+        _powers[which] = tuple(tables)
+    return _powers[which]
 
 
-def _long_span(piece: np.ndarray, which: int) -> int:
-    total, step = 0, 1 << 20
-    forward, _ = _power_tables(which, step)
-    for at in range(0, len(piece), step):
-        part = piece[at : at + step].astype(U64) + U64(1)
-        part *= forward[: len(part)]
-        total += int(part.sum(dtype=U64)) * pow(_BASES[which], at, 1 << 64)
-    return total & _MASK
+@dataclass
+class Chunks:
+    """Byte spans as runs of 64-bit values, the last of each filled up with zeros."""
+
+    values: np.ndarray
+    place: np.ndarray  # of a value in its span
+    first: np.ndarray  # values of span i: first[i]:first[i + 1]
+    lengths: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Chunks:
+        lengths = ends - starts
+        counts = (lengths + 7) >> 3
+        first = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(counts, out=first[1:])
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        anywhere = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+        place = np.arange(first[-1]) - np.repeat(first[:-1], counts)
+        left = np.repeat(lengths, counts) - 8 * place
+        values = anywhere[np.repeat(starts, counts) + 8 * place].astype(U64, copy=False)
+        short = np.flatnonzero(left < 8)
+        values[short] &= (U64(1) << (8 * left[short]).astype(U64)) - U64(1)
+        return cls(values, place, first, lengths)
+
+    def hashes(self, which: int) -> np.ndarray:
+        """A 64-bit hash of each span: its values, each mixed with a key of its place, added up and mixed with the length.
+
+        Every place has a key of its own, and mixing is not linear, so no
+        arrangement of bytes cancels out as it can in a polynomial modulo 2**64.
+        """
+        salt = (which * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF
+        most = int(self.place.max()) + 1 if len(self.place) else 1
+        keys = mix64(np.arange(1, most + 1, dtype=U64) * U64(0xD1342543DE82EF95) + U64(salt))
+        mixed = mix64(mix64(self.values ^ keys[self.place]) + keys[self.place])
+        some = np.flatnonzero(self.lengths)
+        out = np.zeros(len(self.lengths), U64)
+        if len(some):
+            out[some] = np.add.reduceat(mixed, self.first[some])
+        return mix64(out ^ (self.lengths.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(salt)))
+
+    def differ(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Which pairs of spans, given by number, hold different bytes."""
+        out = self.lengths[one] != self.lengths[other]
+        same = np.flatnonzero(~out)
+        a, b = self.first[one[same]], self.first[other[same]]
+        counts = self.first[one[same] + 1] - a
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        wrong = self.values[np.repeat(a, counts) + at] != self.values[np.repeat(b, counts) + at]
+        out[np.repeat(same, counts)[wrong]] = True
+        return out
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of ``data[start:end]`` for sorted spans that do not overlap.
-
-    A polynomial in the bytes modulo 2**64, taken from one running sum for many
-    spans, then mixed with the length.
-    """
-    out = np.empty(len(starts), U64)
-    first, n = 0, len(starts)
-    while first < n:
-        origin = int(starts[first])
-        last = int(np.searchsorted(ends, origin + SLICE_BYTES, side="right"))
-        if last <= first:
-            out[first] = _long_span(data[origin : int(ends[first])], which)
-            first += 1
-            continue
-        stop = int(ends[last - 1])
-        forward, backward = _power_tables(which, stop - origin)
-        running = np.empty(stop - origin + 1, U64)
-        running[0] = 0
-        terms = data[origin:stop].astype(U64)
-        terms += U64(1)
-        terms *= forward[: stop - origin]
-        np.cumsum(terms, out=running[1:])
-        s, e = starts[first:last] - origin, ends[first:last] - origin
-        out[first:last] = (running[e] - running[s]) * backward[s]
-        first = last
-    lengths = (ends - starts).astype(U64)
-    lengths *= U64(0xD6E8FEB86659FD93)
-    return mix64(out ^ lengths)
+    """64-bit hashes of ``data[start:end]``."""
+    return Chunks.of(data, starts, ends).hashes(which)
 
 
 @dataclass
@@ -160,6 +173,10 @@ class Words:
     ends: np.ndarray
     rows: np.ndarray  # word range of row i: rows[i]:rows[i + 1]
 
+    @cached_property
+    def chunks(self) -> Chunks:
+        return Chunks.of(self.data, self.starts, self.ends)
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.rows)
@@ -168,7 +185,7 @@ class Words:
         return np.repeat(np.arange(len(self.rows) - 1), self.counts)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends, which)
+        return self.chunks.hashes(which)
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -186,19 +203,24 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def window_hashes(word_hash: np.ndarray, rows: np.ndarray, size: int, multiplier: int = 0xA0761D6478BD642F) -> tuple[np.ndarray, np.ndarray]:
-    """Start indices of the windows of ``size`` words inside one row, and a hash of each."""
-    n = len(word_hash)
-    if n < size:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    limit = np.repeat(rows[1:] - size, np.diff(rows))
-    starts = np.flatnonzero(np.arange(n) <= limit)
-    total = n - size + 1
-    acc = word_hash[:total].copy()
-    for k in range(1, size):
-        acc *= U64(multiplier | 1)
-        acc += word_hash[k : k + total]
-    return starts, mix64(acc[starts])
+class Rolling:
+    """Hashes of windows of any number of words, rolled from one running polynomial in the hashes of the words."""
+
+    def __init__(self, word_hash: np.ndarray, rows: np.ndarray, which: int = 0) -> None:
+        self.rows, self.n = rows, len(word_hash)
+        forward, self.backward = _power_tables(which, self.n + 1)
+        self.running = np.zeros(self.n + 1, U64)
+        np.cumsum(word_hash * forward[: self.n], out=self.running[1:])
+        self.left = np.repeat(rows[1:], np.diff(rows)) - np.arange(self.n)  # words from here to the end of the row
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start indices of the windows of ``size`` words inside one row, and a hash of each."""
+        starts = np.flatnonzero(self.left >= size)
+        return starts, mix64((self.running[starts + size] - self.running[starts]) * self.backward[starts])
+
+
+def window_hashes(word_hash: np.ndarray, rows: np.ndarray, size: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    return Rolling(word_hash, rows, which).windows(size)
 
 
 def salt_by_row(keys: np.ndarray, row: np.ndarray) -> np.ndarray:

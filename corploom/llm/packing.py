@@ -21,6 +21,7 @@ not read, so their names cannot clash.
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 import unicodedata
@@ -58,7 +59,8 @@ def _part_punctuation(words: blocks.Words) -> blocks.Words:
     for _ in range(4):
         core -= (core - starts > 1) & _TRAILING[data[core - 1]]
     last, before = data[core - 1], data[np.maximum(core - 2, starts)]
-    latin = (last >= 0x80) & (((before >= 0xC4) & (before <= 0xC8)) | ((before == 0xC3) & (last != 0x97) & (last != 0xB7)))
+    # Of U+00C0 to U+023F: all but the two signs, and the dotted capital I, whose lower case ends with a combining mark.
+    latin = (last >= 0x80) & (((before >= 0xC4) & (before <= 0xC8) & ~((before == 0xC4) & (last == 0xB0))) | ((before == 0xC3) & (last != 0x97) & (last != 0xB7)))
     cut = (core < ends) & (_ALNUM[last] | latin)
     extra = np.concatenate([[0], np.cumsum(cut)])
     at = np.arange(len(starts)) + extra[:-1]
@@ -68,6 +70,16 @@ def _part_punctuation(words: blocks.Words) -> blocks.Words:
     return blocks.Words(data, words.offsets, new_starts, new_ends, words.rows + extra[words.rows])
 
 
+def _distinct(words: blocks.Words) -> tuple[np.ndarray, np.ndarray]:
+    """One word for each distinct run of bytes, and for every word which of them it equals; hashes propose, bytes decide."""
+    _, which, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    if not words.chunks.differ(np.arange(len(inverse)), which[inverse]).any():
+        return which, inverse
+    raw, seen = words.data.tobytes(), {}
+    inverse = np.fromiter((seen.setdefault(raw[s:e], len(seen)) for s, e in zip(words.starts.tolist(), words.ends.tolist())), np.int64, len(inverse))
+    return np.unique(inverse, return_index=True)[1], inverse
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level BPE vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -77,6 +89,25 @@ def _byte_letters() -> dict[int, str]:
     return table
 
 
+#: What this module knows of a tokenizer's rules: words are cut as these rules cut them.
+_RULES = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _check_rules(described: dict, path: str) -> None:
+    """Refuses a tokenizer whose ids of a text may be others than those of its words in a row."""
+    parts = [(described.get(kind) or {}).get(name) for kind, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    added = [t["content"] for t in described["added_tokens"]]
+    known = parts == list(_RULES.values()) and described["model"]["type"] == "BPE" and not described["model"]["dropout"]
+    if not known or not all(t.startswith("<|") and not re.search(r"\s", t) for t in added):
+        raise ValueError(f"{path}: its rules for normalising and cutting texts are not those that packing by words is built for")
+
+
 class WordTokenizer:
     """Token ids of texts under a BPE whose tokens never span white space.
 
@@ -90,6 +121,8 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            _check_rules(json.load(file), path)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
@@ -134,7 +167,7 @@ class WordTokenizer:
         words = _part_punctuation(blocks.split_words(data, offsets))
         if len(self.known) > self.cache_words:
             self._reset()
-        _, which, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        which, inverse = _distinct(words)
         distinct = [raw[s:e] for s, e in zip(words.starts[which].tolist(), words.ends[which].tolist())]
         new = [w for w in distinct if w not in self.known]
         if new:

@@ -1,12 +1,19 @@
 """Quality rules: base counts and repetition coverage of whole texts.
 
-Repetition coverage hashes every n-gram of several lengths with a rolling
-polynomial in numpy and measures the share of word characters that lie inside
-n-grams, or on lines, that the same text holds more than once.
+Repetition coverage rolls the hashes of the n-grams of all lengths from one
+running polynomial in numpy and measures the share of word characters that lie
+inside n-grams, or on lines, that the same text holds more than once.
+
+The limits are those published for repeated n-grams of five to ten words and
+for characters on repeated lines with the Gopher models (Rae et al. 2021,
+"Scaling Language Models: Methods, Analysis & Insights from Training Gopher",
+table A1).  They act far below the base rule, which needs repeats of three words
+to cover half a text.
 
 Cases: a null text counts as one without words and fails the base rule, as does
 any text under 50 words; an empty table gives an empty result; repeated rows
-and ties are judged row by row; extra columns pass through `drop_low_quality`
+and ties are judged row by row; a text longer than a slice of `blocks` is
+measured whole, in memory of about fifty times its bytes; extra columns pass through `drop_low_quality`
 untouched whatever their names, and `quality_rules` returns only its own.
 """
 
@@ -34,8 +41,8 @@ SCHEMA = (
 class RepetitionLimits:
     """Largest percentage of word characters inside repeated n-grams, by length, and on repeated lines."""
 
-    ngrams: dict[int, int] = field(default_factory=lambda: {5: 45, 7: 43, 10: 42})
-    lines: int = 30
+    ngrams: dict[int, int] = field(default_factory=lambda: {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10})
+    lines: int = 20
     min_words: int = 50
     repeat_percent: int = 50
 
@@ -56,12 +63,12 @@ def _measure_rows(data: np.ndarray, offsets: np.ndarray, limits: RepetitionLimit
     chars = code_points[words.ends - 1] - code_points[words.starts] + 1 if len(words.starts) else np.zeros(0, np.int64)
     word_chars = blocks.sum_by_row(chars, words.rows)
     n_words = words.counts
-    hashes = words.hashes()
+    rolling = blocks.Rolling(words.hashes(), words.rows)
 
     def covered(size: int) -> np.ndarray:
-        starts, keys = blocks.window_hashes(hashes, words.rows, size)
+        starts, keys = rolling.windows(size)
         again = blocks.repeated(blocks.salt_by_row(keys, row[starts]))
-        return blocks.cover(len(hashes), starts[again], size)
+        return blocks.cover(len(row), starts[again], size)
 
     n_repeat = blocks.sum_by_row(covered(3), words.rows)
     dup_chars = np.stack([blocks.sum_by_row(chars * covered(n), words.rows) for n in limits.ngrams], axis=1)

@@ -28,21 +28,20 @@ l AS (
            sum(list_sum(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: length(x))))::BIGINT AS chars
     FROM lines WHERE again GROUP BY doc_id
 ),
-c3 AS ({_coverage(3)}), c5 AS ({_coverage(5)}), c7 AS ({_coverage(7)}), c10 AS ({_coverage(10)}),
+c3 AS ({_coverage(3)}), {", ".join(f"c{n} AS ({_coverage(n)})" for n in range(5, 11))},
 m AS (
     SELECT w.doc_id, len(ws)::BIGINT AS n_words,
            coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
            len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
            coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c3.words, 0)::BIGINT AS n_repeat_words,
            coalesce(l.chars, 0)::BIGINT AS dup_line_chars,
-           [coalesce(c5.chars, 0), coalesce(c7.chars, 0), coalesce(c10.chars, 0)] AS dup_ngram_chars
-    FROM w LEFT JOIN l USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN c5 USING (doc_id)
-    LEFT JOIN c7 USING (doc_id) LEFT JOIN c10 USING (doc_id)
+           [{", ".join(f"coalesce(c{n}.chars, 0)" for n in range(5, 11))}] AS dup_ngram_chars
+    FROM w LEFT JOIN l USING (doc_id) LEFT JOIN c3 USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in range(5, 11))}
 ),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (100 * dup_ngram_chars[1] > 45 * word_chars OR 100 * dup_ngram_chars[2] > 43 * word_chars
-           OR 100 * dup_ngram_chars[3] > 42 * word_chars OR 100 * dup_line_chars > 30 * word_chars) AS kept,
+       NOT base_failed AND NOT ({" OR ".join(f"100 * dup_ngram_chars[{n - 4}] > {20 - n} * word_chars" for n in range(5, 11))}
+           OR 100 * dup_line_chars > 20 * word_chars) AS kept,
        dup_line_chars, dup_ngram_chars
 FROM b
 """

@@ -114,7 +114,7 @@ class _Windows:
         for i, j in blocks.row_slices(self.offsets):
             words = blocks.split_words(self.data[self.offsets[i] : self.offsets[j]], self.offsets[i : j + 1] - self.offsets[i])
             at, first = blocks.window_hashes(words.hashes(0), words.rows, size)
-            _, second = blocks.window_hashes(words.hashes(1), words.rows, size, 0xE7037ED1A0B428DB)
+            _, second = blocks.window_hashes(words.hashes(1), words.rows, size, 1)
             self.words.append((i, base, words))
             firsts.append(first)
             seconds.append(second)

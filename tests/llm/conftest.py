@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-from llm_rows import noise  # noqa: E402
+from llm_rows import noise, twins  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,6 +33,8 @@ def odd_rows():
         (207, base[0], "en", "hot", 1), (None, base[1], None, None, None), (208, "a b \x0bc\x1cd", "en", "hot", 7), (209, "x" * 70_000, "en", "s1", 9),
         (210, ("same line here\n" * 30) + noise(rng, 60), "en", "s1", 9), (211, noise(rng, 60) + " #*$%&|<>", "en", "s1", 9),
     ]
+    around = noise(rng, 12), noise(rng, 30)
+    rows += [(212 + k, f"{around[0]} {word} {around[1]}", "en", "s1", 9) for k, word in enumerate(twins("ab", 1024))]
     return rows
 
 

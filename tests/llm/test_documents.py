@@ -1,13 +1,14 @@
 """Operators on `documents`, each against a brute-force version over the same odd rows."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
-from llm_rows import words_of
+from llm_rows import noise, twins, words_of
 from pyspark.sql import functions as F
 
 from corploom.llm import blocks, language, minhash, mixing, packing, quality, sharding, substring
@@ -21,10 +22,35 @@ def test_span_hashes_agree_over_any_cut():
     words = blocks.split_words(raw, np.array([0, len(raw)]))
     h = words.hashes()
     assert len(h) == 900_002 and len(set(h.tolist())) == 2 and h[0] == h[-1]
+    assert not blocks.Chunks.of(raw, words.starts[[0, 1]], words.ends[[0, 1]]).differ(np.array([0]), np.array([0])).any()
     alone = np.frombuffer(b"x" * 3_000_000, np.uint8)
     assert blocks.span_hashes(alone, np.array([0]), np.array([len(alone)]))[0] == h[-2]
 
 
+@pytest.mark.parametrize("n", [64, 1024, 1 << 15])
+def test_arrangements_of_bytes_do_not_collide(n):
+    raw = np.frombuffer(" ".join([*twins("ab", n), *twins("ab", n)[::-1]]).encode(), np.uint8)
+    words = blocks.split_words(raw, np.array([0, len(raw)]))
+    for which in (0, 1):
+        h = words.hashes(which).tolist()
+        assert h[0] == h[3] != h[1] == h[2]
+    assert words.chunks.differ(np.array([0, 0, 1]), np.array([1, 3, 2])).tolist() == [True, False, False]
+
+
+def test_rolled_windows_are_equal_where_words_are():
+    rng = random.Random(2)
+    texts = [noise(rng, rng.randrange(60), 4) for _ in range(50)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    words = blocks.split_words(data, offsets)
+    rolling, flat = blocks.Rolling(words.hashes(), words.rows), [w for t in texts for w in words_of(t)]
+    for size in (1, 2, 3, 5, 13):
+        starts, keys = rolling.windows(size)
+        assert len(starts) == sum(max(0, len(words_of(t)) - size + 1) for t in texts)
+        grams = [tuple(flat[s : s + size]) for s in starts.tolist()]
+        assert len(set(zip(grams, keys.tolist()))) == len(set(grams)) == len(set(keys.tolist()))
+
+
 # quality
 
 
@@ -58,6 +84,20 @@ def test_quality_rules(odd_docs, odd_rows, no_docs):
     assert quality.quality_rules(no_docs).count() == quality.drop_low_quality(no_docs).count() == 0
 
 
+def test_the_method_rejects_what_the_base_rule_keeps(spark):
+    """One sentence twice among 100 words: 20 percent of the words, far below the base rule."""
+    rng = random.Random(3)
+    sentence = " ".join(f"sentence{k}" for k in range(10))
+    plain = " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    line = "\n".join(f"a{k} b{k} c{k}\nrepeatedline{k % 20}" for k in range(40))
+    rows = [(1, f"{sentence} {plain} {sentence}"), (2, plain), (3, line), (4, plain.replace(" ", "\n"))]
+    limits = quality.RepetitionLimits()
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (got[i].base_failed, got[i].kept) for i in got} == {1: (False, False), 2: (False, True), 3: (False, False), 4: (False, True)}
+    assert 100 * got[3].dup_line_chars > 20 * got[3].word_chars and max(got[3].dup_ngram_chars) == 0
+    assert all(tuple(got[i])[1:8] == brute_quality(t, limits) for i, t in rows)
+
+
 # substring
 
 
@@ -224,6 +264,37 @@ def test_packing(spark, odd_docs, odd_rows, no_docs):
     assert used <= 1.01 * -(-sum(r.length for r in pieces) // 2048) + 1
 
 
+def test_ids_are_those_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ours, theirs = packing.WordTokenizer(path), Tokenizer.from_file(path)
+
+    def wrong(texts):
+        raw = [t.encode() for t in texts]
+        ids, at = ours.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        return [t for k, (t, e) in enumerate(zip(texts, theirs.encode_batch_fast(texts, add_special_tokens=False))) if e.ids != ids[at[k] : at[k + 1]].tolist()]
+
+    letters = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x250)]]
+    assert wrong([f"{before}{c}{mark} x" for c in letters for mark in "!#$%&*,.:;?)" for before in ("", "b")]) == []
+    assert wrong([f"{chr(c)}{mark}" for c in range(0x250, 0x3000) for mark in ",."]) == []
+    assert wrong(["İ,", "İstanbul, İ.", "ALİ, VELİ.", *twins("ab", 1024), " ".join(twins("ab", 1024))]) == []
+    rng, alphabet = random.Random(5), [*"abzAZİıIßŐàé\u0307\u0301 09,,.;!?)('’\n\t\xa0\u3000漢|<>_-·×÷ǅŉ", "'s", "'T", "  "]
+    assert wrong(["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(20_000)]) == []
+
+
+def test_tokenizers_of_other_rules_are_refused():
+    with pytest.raises(ValueError, match="rules"):
+        packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_words_with_one_hash_keep_their_own_ids(monkeypatch):
+    monkeypatch.setattr(blocks.Words, "hashes", lambda self, which=0: np.zeros(len(self.starts), np.uint64))
+    data = np.frombuffer(b"one two one three two", np.uint8)
+    which, inverse = packing._distinct(blocks.split_words(data, np.array([0, len(data)])))
+    assert which.tolist() == [0, 1, 3] and inverse.tolist() == [0, 1, 0, 2, 1]
+
+
 def test_the_fullest_bin_closes_first():
     bins = packing.BestFit(10, open_bins=2)
     assert [bins.place(n) for n in (6, 7, 5)] == [(0, 0), (1, 0), (2, 0)]  # a third bin: the one with 7 closes
