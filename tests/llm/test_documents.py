@@ -364,6 +364,48 @@ def test_mixing_follows_the_weights_by_less_than_a_block(spark, odd_docs, no_doc
     assert mixing.mix_sources(no_docs).count() == mixing.interleave(no_docs).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("weights", "shares"),
+    [({"a": 60, "b": 25}, {"a": 60, "b": 25, "c": 42.5}), ({"a": 0.6, "b": 0.25}, {"a": 60, "b": 25, "c": 42.5}), ({None: 3, "a": 1e-9}, {"a": 1, "b": 1, "c": 1}), ({"z": 5}, {"a": 1, "b": 1, "c": 1})],
+)
+def test_given_and_derived_weights_share_a_scale(spark, weights, shares):
+    df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(6000)], "doc_id long, source string")
+    on = Counter(r.source for r in mixing.mix_sources(df, mixing.MixParameters(weights=weights, block_docs=1)).where("on_target").collect())
+    total = sum(shares.values())
+    assert sum(on.values()) > 900 and all(abs(on[s] / sum(on.values()) - w / total) < 0.003 for s, w in shares.items())
+
+
+def test_weights_are_checked_and_null_sources_can_have_one(spark):
+    for wrong in (0, -1, float("nan"), float("inf"), "3", None):
+        with pytest.raises(ValueError, match="weight"):
+            mixing.MixParameters(weights={"a": 1, "b": wrong})
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(2000)], "doc_id long, source string")
+    on = Counter(r.source for r in mixing.mix_sources(df, mixing.MixParameters(weights={"a": 1, None: 3}, block_docs=1)).where("on_target").collect())
+    assert abs(on[None] / sum(on.values()) - 0.75) < 0.003
+
+
+def test_mixing_with_shuffled_plans_null_ids_and_repeated_rows(spark):
+    rows = [(None if i % 3 == 0 else i % 50, f"text {i % 7}", "hot" if i % 3 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    p = mixing.MixParameters(block_docs=4, rows_per_range=50, rows_per_file=64, broadcast_rows=0)
+    got = mixing.mix_sources(df, p).collect()
+    for source in ("hot", None):
+        mine = [r for r in got if r.source == source]
+        assert sorted(r.block * 4 + r.place for r in mine) == list(range(len(mine)))
+        ids = [(r.doc_id is not None, r.doc_id or 0) for r in sorted(mine, key=lambda r: r.block * 4 + r.place)]
+        assert ids == sorted(ids)
+    mixed = mixing.interleave(df, p)
+    assert Counter(tuple(r) for r in mixed.collect()) == Counter(rows)
+    sizes = [len(x) for x in mixed.rdd.glom().collect()]
+    assert max(sizes) <= 68 and len(sizes) > 10
+
+
+def test_many_sources_cost_a_pass_over_them_a_slot(spark):
+    df = spark.range(8000).selectExpr("id AS doc_id", "concat('s', id % 400) AS source")
+    got = mixing.mix_sources(df, mixing.MixParameters(block_docs=5)).collect()
+    assert len({(r.slot, r.place) for r in got}) == 8000 and all(r.release <= r.slot < r.deadline for r in got)
+
+
 # the pipeline
 
 
