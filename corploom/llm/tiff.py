@@ -6,9 +6,11 @@ horizontal and floating-point predictors.  The writer makes classic TIFF with
 the same choices, and stores any bytes losslessly as 8-bit grey samples.
 
 Cases: a null text is stored as an empty one, a page of zero bytes; a payload
-over one page becomes several; repeated rows give equal media; media that
-cannot be decoded, or null media, give one row with page -1 and the reason in
-`error`; an empty table gives an empty result; other columns are not read, so
+over one page becomes several; a very long text is held whole, with its media,
+several times over; repeated rows give equal media; a page that cannot be
+decoded is a row without pixels and with the reason in `error`, beside those of
+the other pages; null media, or a damaged chain of directories, add a row with
+page -1 and the reason; an empty table gives an empty result; other columns are not read, so
 their names cannot clash.
 """
 
@@ -66,9 +68,10 @@ def packbits_encode(raw: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(raw: bytes) -> bytes:
+def packbits_decode(raw: bytes, most: int | None = None) -> bytes:
+    """The bytes; decoding stops once there are ``most``."""
     out, at, n = bytearray(), 0, len(raw)
-    while at < n:
+    while at < n and (most is None or len(out) < most):
         head = raw[at]
         if head < 128:
             out += raw[at + 1 : at + 2 + head]
@@ -81,90 +84,101 @@ def packbits_decode(raw: bytes) -> bytes:
     return bytes(out)
 
 
+def _lzw_widths(count: int) -> np.ndarray:
+    """Bits of the codes after a clear code: most significant bit first, and widths grow one code early."""
+    size = 258 + np.maximum(np.arange(count) - 1, 0)
+    return 9 + (size >= 511).astype(np.int64) + (size >= 1023) + (size >= 2047)
+
+
+_WIDTHS = _lzw_widths(1 << 14)
+_BITS_BEFORE = np.concatenate([[0], np.cumsum(_WIDTHS)])
+_SEGMENT = 4096  # codes taken from the bits at a time
+
+
 def lzw_encode(raw: bytes) -> bytes:
-    """LZW as TIFF has it: most significant bit first, widths grow one code early."""
-    start = {bytes((b,)): b for b in range(256)}
-    out, acc, held = bytearray(), 256, 9
-    table, code, width, word = dict(start), 258, 9, b""
-    for byte in range(len(raw)):
-        longer = word + raw[byte : byte + 1]
-        if longer in table:
-            word = longer
-            continue
-        acc = acc << width | table[word]
-        held += width
-        table[longer] = code
-        code += 1
-        word = raw[byte : byte + 1]
-        if code == (1 << width):
-            width += 1
-        if code == 4095:
-            acc = acc << 12 | 256
-            held += 12
-            table, code, width = dict(start), 258, 9
-        if held > 512:
-            spare = held & 7
-            out += (acc >> spare).to_bytes(held >> 3, "big")
-            acc &= (1 << spare) - 1
-            held = spare
-    if word:
-        acc = acc << width | table[word]
-        held += width
-        code += 1
-        if code == (1 << width):
-            width += 1
-    acc = acc << width | 257
-    held += width
-    pad = -held & 7
-    return bytes(out) + (acc << pad).to_bytes((held + pad) >> 3, "big")
-
-
-def lzw_decode(raw: bytes) -> bytes:
-    start = [bytes((b,)) for b in range(256)] + [b"", b""]
+    codes, table, new = [256], {}, 258
+    known, add = table.get, codes.append
+    rest = iter(raw)
+    word = next(rest, None)
+    if word is not None:
+        for byte in rest:
+            longer = known(word << 8 | byte)
+            if longer is not None:
+                word = longer
+                continue
+            add(word)
+            table[word << 8 | byte] = new
+            new += 1
+            word = byte
+            if new == 4095:
+                add(256)
+                table.clear()
+                new = 258
+        add(word)
+    add(257)
+    values = np.array(codes)
+    clears = np.flatnonzero(values == 256)
+    place = np.arange(len(values))
+    place[1:] -= clears[np.searchsorted(clears, place[1:]) - 1] + 1
+    widths = _WIDTHS[place]
+    shift = widths[:, None] - 1 - np.arange(12)
+    bits = (values[:, None] >> np.maximum(shift, 0) & 1).astype(np.uint8)
+    return np.packbits(bits[shift >= 0]).tobytes()
+
+
+def lzw_decode(raw: bytes, most: int | None = None) -> bytes:
+    """The bytes; decoding stops once there are ``most``."""
+    data = np.frombuffer(raw + bytes(4), np.uint8).astype(np.int64)
+    window = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]  # 32 bits from each byte on
+    single = [bytes((b,)) for b in range(256)] + [b"", b""]
     out: list[bytes] = []
-    table, width, last = list(start), 9, b""
-    acc, held, at, n = 0, 0, 0, len(raw)
-    while True:
-        if held < width:
-            step = raw[at : at + 64]
-            if not step:
+    size, at, total = 0, 0, 8 * len(raw)
+    table, last, begin = list(single), b"", 0
+    while most is None or size < most:
+        # Codes from bit `at`, as many as there are: the width of each follows from its place after the last clear code.
+        here = np.minimum(begin + np.arange(_SEGMENT), len(_WIDTHS) - 1)
+        widths = _WIDTHS[here]
+        ends = at + np.cumsum(widths)
+        n = int(np.searchsorted(ends, total, side="right"))
+        if not n:
+            break
+        first = ends[:n] - widths[:n]
+        codes = window[first >> 3] >> (32 - (first & 7) - widths[:n]) & ((1 << widths[:n]) - 1)
+        control = np.flatnonzero(codes >> 1 == 128)  # 256 and 257
+        stop = int(control[0]) if len(control) else n
+        for code in codes[:stop].tolist():
+            if code < len(table):
+                word = table[code]
+            elif last and code == len(table):
+                word = last + last[:1]
+            else:
+                raise TiffError("LZW code out of range")
+            out.append(word)
+            size += len(word)
+            if last:
+                table.append(last + word[:1])
+            last = word
+            if most is not None and size >= most:
                 break
-            acc = (acc & ((1 << held) - 1)) << (8 * len(step)) | int.from_bytes(step, "big")
-            held += 8 * len(step)
-            at += 64
-            if held < width:
+        if stop < n:
+            if codes[stop] == 257:
                 break
-        held -= width
-        code = acc >> held & ((1 << width) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            table, width, last = list(start), 9, b""
-            continue
-        if code < len(table):
-            word = table[code]
-        elif last and code == len(table):
-            word = last + last[:1]
+            table, last, begin, at = list(single), b"", 0, int(ends[stop])
         else:
-            raise TiffError("LZW code out of range")
-        out.append(word)
-        if last:
-            table.append(last + word[:1])
-            if len(table) >= (1 << width) - 1 and width < 12:
-                width += 1
-        last = word
+            begin, at = begin + n, int(ends[n - 1])
     return b"".join(out)
 
 
-def _decompress(method: int, raw: bytes) -> bytes:
+def _decompress(method: int, raw: bytes, most: int) -> bytes:
+    """At least ``most`` bytes, where there are as many; what a stream holds beyond is not expanded."""
     if method == NONE:
         return raw
     if method == LZW:
-        return lzw_decode(raw)
+        return lzw_decode(raw, most)
     if method in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(raw)
+        return zlib.decompressobj().decompress(raw, max(1, most))
     if method == PACKBITS:
-        return packbits_decode(raw)
+        return packbits_decode(raw, most)
     raise TiffError(f"compression {method} is not supported")
 
 
@@ -212,6 +226,8 @@ def _directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
             raise TiffError("directories form a cycle")
         seen.add(at)
         (n,) = struct.unpack_from(order + count_code, raw, at)
+        if n * entry > len(raw):
+            raise TiffError("a directory is longer than the file")
         at += struct.calcsize(count_code)
         tags: dict[int, tuple] = {}
         for k in range(n):
@@ -222,6 +238,8 @@ def _directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
             if code is None:
                 continue
             where = here + 4 + wide
+            if count > len(raw):
+                raise TiffError("a tag has more values than the file has bytes")
             if count * struct.calcsize(code) > wide:
                 (where,) = struct.unpack_from(order + offset_code, raw, where)
             tags[tag] = struct.unpack_from(f"{order}{count}{code}", raw, where)
@@ -246,39 +264,81 @@ def _unpredict(piece: np.ndarray, predictor: int, order: str, bits: int) -> np.n
     return values
 
 
-def read_pages(raw: bytes) -> Iterator[Page]:
-    """The pages of a TIFF, decoded."""
+_DAMAGE = (struct.error, zlib.error, KeyError, IndexError, ValueError, TypeError, OverflowError, ZeroDivisionError, MemoryError)
+#: No codec here makes more bytes of one: what claims to is damaged, and no memory is taken for it.
+_MOST_GROWTH = 1500
+_MOST_PAGE_BYTES = (1 << 31) - 1  # of one value in an Arrow column
+
+
+def walk_pages(raw: bytes) -> tuple[list[Page | TiffError], TiffError | None]:
+    """Each page or why it cannot be decoded, and what is wrong with the chain of directories, if anything."""
+    pages: list[Page | TiffError] = []
     try:
         for order, tags in _directories(raw):
-            yield _page(raw, order, tags)
-    except (struct.error, zlib.error, KeyError, IndexError) as e:
-        raise TiffError(f"damaged TIFF: {e}") from e
+            try:
+                pages.append(_page(raw, order, tags))
+            except _DAMAGE as e:
+                pages.append(e if isinstance(e, TiffError) else TiffError(f"damaged page: {type(e).__name__} {e}"))
+    except _DAMAGE as e:
+        return pages, e if isinstance(e, TiffError) else TiffError(f"damaged TIFF: {e}")
+    return pages, None if pages else TiffError("no directory")
+
+
+def read_pages(raw: bytes) -> Iterator[Page]:
+    """The pages of a TIFF, decoded; the first that cannot be raises."""
+    pages, wrong = walk_pages(raw)
+    for page in pages:
+        if isinstance(page, TiffError):
+            raise page
+        yield page
+    if wrong:
+        raise wrong
+
+
+def _unpack_bits(rows: np.ndarray, depth: int, count: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, a byte each, from rows that begin at whole bytes."""
+    bits = np.unpackbits(rows, axis=1)[:, : count * depth].reshape(len(rows), count, depth)
+    return bits @ (1 << np.arange(depth - 1, -1, -1)).astype(np.uint8)
 
 
 def _page(raw: bytes, order: str, tags: dict[int, tuple]) -> Page:
     width, height = tags[256][0], tags[257][0]
     samples = tags.get(277, (1,))[0]
     bits = set(tags.get(258, (1,)))
-    if len(bits) != 1 or not bits <= {8, 16, 32, 64}:
+    if len(bits) != 1 or not bits <= {1, 2, 4, 8, 16, 32, 64}:
         raise TiffError(f"samples of {sorted(bits)} bits are not supported")
     (depth,) = bits
     method, predictor, planar = tags.get(259, (1,))[0], tags.get(317, (1,))[0], tags.get(284, (1,))[0]
+    if depth < 8 and predictor != 1:
+        raise TiffError(f"predictor {predictor} on samples of {depth} bits is not supported")
     tiled = 322 in tags
     piece_width, piece_height = (tags[322][0], tags[323][0]) if tiled else (width, min(tags.get(278, (height,))[0], height) or 1)
+    if samples < 1 or (width and height and (piece_width < 1 or piece_height < 1)):
+        raise TiffError("a page without samples, or tiles without size")
     offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    across, down = -(-width // piece_width) if width else 0, -(-height // piece_height)
+    across, down = (-(-width // piece_width), -(-height // piece_height)) if width and height else (0, 0)
     planes, each = (samples, 1) if planar == 2 else (1, samples)
-    image = np.zeros((height, width, samples), f"<u{depth // 8}")
-    row_bytes = piece_width * each * depth // 8
-    for k in range(across * down * planes):
+    pieces = across * down * planes
+    size = max(1, depth // 8)
+    held = sum(min(n, len(raw)) for n in sizes[:pieces])
+    if len(offsets) < pieces or len(sizes) < pieces or max(height * width * samples * depth // 8, piece_height * piece_width * each * depth // 8) > _MOST_GROWTH * max(held, 1):
+        raise TiffError("a page claims more samples than its strips or tiles hold")
+    if height * width * samples * size > _MOST_PAGE_BYTES:
+        raise TiffError("a page has more bytes than a column value can hold")
+    image = np.zeros((height, width, samples), f"<u{size}")
+    row_bytes = -(-piece_width * each * depth // 8)
+    for k in range(pieces):
         plane, place = divmod(k, across * down)
         y, x = place // across * piece_height, place % across * piece_width
         rows = piece_height if tiled else min(piece_height, height - y)
-        data = _decompress(method, raw[offsets[k] : offsets[k] + sizes[k]])
+        data = _decompress(method, raw[offsets[k] : offsets[k] + sizes[k]], rows * row_bytes)
         if len(data) < rows * row_bytes:
             raise TiffError("a strip or tile is short")
-        bytes_ = np.frombuffer(data, np.uint8, rows * row_bytes).reshape(rows, piece_width * depth // 8, each)
-        values = _unpredict(bytes_, predictor, order, depth)
+        flat = np.frombuffer(data, np.uint8, rows * row_bytes).reshape(rows, row_bytes)
+        if depth < 8:
+            values = _unpack_bits(flat, depth, piece_width * each).reshape(rows, piece_width, each)
+        else:
+            values = _unpredict(flat.reshape(rows, piece_width * size, each), predictor, order, depth)
         target = image[y : y + rows, x : x + piece_width, plane : plane + each]
         target[...] = values[: target.shape[0], : target.shape[1]]
     return Page(width, height, samples, depth, method, tags.get(262, (1,))[0], image.tobytes())
@@ -341,7 +401,6 @@ class PayloadParameters:
     width: int = 64
     page_rows: int = 16384
     strip_rows: int = 256
-    most_lzw_rows: int = 1024
 
     def layout(self, rows: int) -> Layout:
         kind = rows % 4
@@ -351,7 +410,7 @@ class PayloadParameters:
             return Layout(DEFLATE, predictor=2, rows_per_strip=self.strip_rows)
         if kind == 2:
             return Layout(DEFLATE, tile=(32, 64))
-        return Layout(LZW if rows <= self.most_lzw_rows else DEFLATE, rows_per_strip=self.strip_rows)
+        return Layout(LZW, rows_per_strip=self.strip_rows)
 
 
 def store_payload(raw: bytes, p: PayloadParameters) -> bytes:
@@ -382,7 +441,11 @@ _PAGE_FIELDS = "page int, n_pages int, width int, height int, samples int, bits
 
 
 def decode_pages(media: DataFrame, media_column: str = "media", *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per page of each TIFF, with the kept columns, in page order and with no other row between."""
+    """One row per page of each TIFF, with the kept columns, in page order and with no other row between.
+
+    A page that cannot be decoded has its `error` and no pixels; a damaged chain
+    of directories adds a row of page -1 before those of the pages it gave.
+    """
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*keep).schema), _PAGE_FIELDS])
     names = [*keep, *(x.split()[0] for x in _PAGE_FIELDS.split(", "))]
     bound_batches(media.sparkSession)
@@ -397,11 +460,11 @@ def decode_pages(media: DataFrame, media_column: str = "media", *, keep: tuple[s
                 for k, raw in enumerate(part.column(len(keep)).to_pylist()):
                     digest = None if raw is None else hashlib.sha256(raw).hexdigest()
                     size = None if raw is None else len(raw)
-                    try:
-                        pages = list(read_pages(raw or b""))
-                        mine = [(n, len(pages), g.width, g.height, g.samples, g.bits, g.compression, g.pixels, size, digest, None) for n, g in enumerate(pages)]
-                    except TiffError as e:
-                        mine = [(-1, 0, *[None] * 6, size, digest, str(e))]
+                    pages, wrong = walk_pages(raw or b"")
+                    mine = [] if wrong is None else [(-1, len(pages), *[None] * 6, size, digest, str(wrong))]
+                    for n, g in enumerate(pages):
+                        own = (*[None] * 6, size, digest, str(g)) if isinstance(g, TiffError) else (g.width, g.height, g.samples, g.bits, g.compression, g.pixels, size, digest, None)
+                        mine.append((n, len(pages), *own))
                     owner += [k] * len(mine)
                     found += mine
                 kept = [part.column(k).take(pa.array(owner, pa.int32())) for k in range(len(keep))]
@@ -411,29 +474,39 @@ def decode_pages(media: DataFrame, media_column: str = "media", *, keep: tuple[s
 
 
 def page_features(pages: DataFrame) -> DataFrame:
-    """Per stored payload, from its consecutive page rows: digests of the bytes read back, and their statistics."""
+    """Per stored payload, from its consecutive page rows: digests of the bytes read back, and their statistics.
+
+    A payload with a page or chain that cannot be decoded has no digests, and the reason as its feature.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     @blocks.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha, size, total, square, pages_, bends = hashlib.sha256(), 0, 0, 0, 0, 0
+        sha, size, total, square, bends, wrong = hashlib.sha256(), 0, 0, 0, 0, None
         for batch in batches:
             out = []
-            for doc, n_bytes, page, n_pages, pixels, media_bytes, media_sha in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                if page == 0:
-                    sha, size, total, square, bends = hashlib.sha256(), 0, 0, 0, 0
-                sha.update(pixels)
-                values = np.frombuffer(pixels, np.uint8)
-                counts = np.bincount(values, minlength=256)
-                size += len(pixels)
-                total += int(counts @ np.arange(256))
-                square += int(counts @ np.arange(256) ** 2)
-                bends += int(np.count_nonzero(values[1:] != values[:-1]))
+            for doc, n_bytes, page, n_pages, pixels, media_bytes, media_sha, error in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                if page == 0 or page == -1:
+                    sha, size, total, square, bends, wrong = hashlib.sha256(), 0, 0, 0, 0, wrong if page == 0 else None
+                wrong = wrong or error
+                if pixels is not None:
+                    sha.update(pixels)
+                    values = np.frombuffer(pixels, np.uint8)
+                    counts = np.bincount(values, minlength=256)
+                    size += len(pixels)
+                    total += int(counts @ np.arange(256))
+                    square += int(counts @ np.arange(256) ** 2)
+                    bends += int(np.count_nonzero(values[1:] != values[:-1]))
                 if page == n_pages - 1:
-                    feature = f"pages={n_pages};mean={1000 * total // size};var={(1000 * square - 1000 * total * total // size) // size};edges={1000 * bends // size}"
-                    out.append((doc, n_bytes, size, sha.hexdigest(), zlib.crc32(pixels[-64:]), media_bytes, media_sha, feature))
+                    if wrong is not None:
+                        out.append((doc, n_bytes, None, None, None, media_bytes, media_sha, f"error={wrong}"))
+                    else:
+                        n = max(size, 1)
+                        feature = f"pages={n_pages};mean={1000 * total // n};var={(1000 * square - 1000 * total * total // n) // n};edges={1000 * bends // n}"
+                        out.append((doc, n_bytes, size, sha.hexdigest(), zlib.crc32(pixels[-64:]), media_bytes, media_sha, feature))
+                    wrong = None
             columns = list(zip(*out)) if out else [[]] * 8
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return pages.select("doc_id", "n_bytes", "page", "n_pages", "pixels", "media_bytes", "media_sha256").mapInArrow(rows, schema)
+    return pages.select("doc_id", "n_bytes", "page", "n_pages", "pixels", "media_bytes", "media_sha256", "error").mapInArrow(rows, schema)

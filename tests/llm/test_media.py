@@ -67,11 +67,63 @@ def test_damaged_media_say_why(spark, odd_docs, odd_rows, no_docs):
     good = tiff.write_tiff([np.zeros((2, 2), np.uint8)], tiff.Layout())
     link = struct.unpack_from("<I", good, 4)[0]
     cycle = good[:-4] + struct.pack("<I", link)
-    rows = [(1, good), (2, None), (3, b""), (4, b"GIF89a.."), (5, good[:-9]), (6, cycle), (7, good.replace(b"x", b"y")[:8] + b"\xff" * 8 + good[16:])]
+    rows = [(1, good), (2, None), (3, b""), (4, b"GIF89a.."), (5, good[:-9]), (6, cycle), (7, good.replace(b"x", b"y")[:8] + b"\xff" * 8 + good[16:]), (8, good[:4] + bytes(4) + good[8:])]
+
+    def changed(tag, value, raw=None):
+        raw = bytearray(raw or tiff.write_tiff([np.ones((40, 40), np.uint8)], tiff.Layout(tile=(16, 32))))
+        at = raw.index(struct.pack("<HHI", tag, 4, 1)) + 8
+        raw[at : at + 4] = struct.pack("<I", value)
+        return bytes(raw)
+
+    rows += [(9, changed(322, 0)), (10, changed(323, 0)), (11, changed(256, 1 << 31)), (12, changed(257, 1 << 30)), (13, changed(277, 0)), (14, changed(258, 7)), (15, changed(259, 99))]
+    two = tiff.write_tiff([np.zeros((64, 64), np.uint8), np.ones((3, 3), np.uint8)], tiff.Layout(tiff.NONE))
+    rows += [(16, changed(259, 99, two))]
     df = spark.createDataFrame(rows, "k long, media binary")
-    found = {r.k: r for r in tiff.decode_pages(df, keep=("k",)).collect()}
-    assert found[1].page == 0 and found[1].error is None
-    assert all(found[k].page == -1 and found[k].error for k in (2, 3, 4, 5, 6, 7))
+    found = {}
+    for r in tiff.decode_pages(df, keep=("k",)).collect():
+        found.setdefault(r.k, []).append((r.page, r.n_pages, r.error is None, r.pixels is None))
+    assert found[1] == [(0, 1, True, False)]
+    assert all(found[k] == [(-1, 0, False, True)] for k in (2, 3, 4, 5, 8))
+    assert found[6] == [(-1, 1, False, True), (0, 1, True, False)] and found[7] == [(0, 1, False, True)]
+    assert all(found[k] == [(0, 1, False, True)] for k in range(9, 16))
+    assert found[16] == [(0, 2, False, True), (1, 2, True, False)]
+    media = df.selectExpr("k AS doc_id", "1L AS n_bytes", "media")
+    features = {r.doc_id: r for r in tiff.page_features(tiff.decode_pages(media, keep=("doc_id", "n_bytes"))).collect()}
+    assert sorted(features) == list(range(1, 17)) and features[1].payload_bytes == 4
+    assert all(features[k].feature.startswith("error=") and features[k].payload_sha256 is None for k in range(2, 17))
+
+
+@given(st.binary(max_size=300), st.integers(0, 400), st.integers(0, 255))
+def test_any_bytes_are_pages_or_errors(noise, at, value):
+    raw = bytearray(tiff.write_tiff([np.arange(64, dtype=np.uint8).reshape(8, 8)], tiff.Layout(tiff.LZW)))
+    raw[at % len(raw)] = value
+    for media in (bytes(raw), b"II*\0" + noise, noise):
+        pages, wrong = tiff.walk_pages(media)
+        assert pages or wrong
+
+
+def test_an_inflated_strip_is_not_expanded():
+    bomb = zlib.compress(bytes(50_000_000), 9)
+    tags = [(256, 4, 1, 2), (257, 4, 1, 1), (258, 4, 1, 8), (259, 4, 1, 8), (273, 4, 1, 8), (278, 4, 1, 1), (279, 4, 1, len(bomb))]
+    assert [p.pixels for p in tiff.read_pages(hand_made(tags, bomb + b"\0" * (len(bomb) % 2)))] == [b"\0\0"]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_samples_below_a_byte(depth):
+    rng = np.random.default_rng(depth)
+    image = rng.integers(0, 1 << depth, (5, 13), dtype=np.uint8)
+    bits = np.unpackbits(image[:, :, None], axis=2)[:, :, 8 - depth :].reshape(5, -1)
+    packed = tiff.packbits_encode(np.packbits(bits, axis=1).tobytes())
+    tags = [(256, 4, 1, 13), (257, 4, 1, 5), (258, 3, 1, depth), (259, 3, 1, 32773), (273, 4, 1, 8), (278, 4, 1, 5), (279, 4, 1, len(packed))]
+    (page,) = tiff.read_pages(hand_made(tags, packed + b"\0" * (len(packed) % 2)))
+    assert page.pixels == image.tobytes() and page.bits == depth
+
+
+def test_long_lzw_streams():
+    rng = np.random.default_rng(1)
+    for raw in (rng.integers(0, 256, 40_000, dtype=np.uint8).tobytes(), b"a" * 300_000, bytes(rng.integers(97, 101, 90_000, dtype=np.uint8))):
+        packed = tiff.lzw_encode(raw)
+        assert tiff.lzw_decode(packed) == raw and tiff.lzw_decode(packed, 1000)[:1000] == raw[:1000] and len(tiff.lzw_decode(packed, 1000)) < 6000
 
 
 def test_texts_survive_storage(odd_docs, odd_rows, no_docs):
