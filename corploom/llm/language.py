@@ -6,14 +6,20 @@ multiplication; a document bundles (adds) its n-gram vectors; a language's
 prototype bundles the unit vectors of its documents.  The prediction is the
 prototype with the greatest cosine.
 
+N-grams are bound a few thousand at a time, so memory is bounded by a slice of
+texts (or one long text, about 60 times its letters), not by the number of
+different n-grams in it.
+
 Learning adds up partial prototypes, a few kilobytes a language and task, in
 two salted rounds, so a language that most documents have does not fill one
-task.  The driver and the tasks of the prediction hold the prototypes:
-languages x dimensions floats, refused beyond `most_languages`.
+task.  The driver and the tasks of the prediction hold the prototypes, four
+kilobytes a language; a label column that is none, with prototypes of more than
+`most_prototype_bytes`, is refused.
 
 Cases: a null text or one without letters is `und` with score 0 and teaches
 nothing; rows with a null label teach nothing; with nothing to learn from, all
-is `und`; equal texts get equal predictions; an empty table gives an empty
+is `und`; equal texts, and so repeated rows, get equal predictions, and each
+repeated row teaches; of equal cosines the first language by name wins; an empty table gives an empty
 result; other columns are not read, so their names cannot clash.
 """
 
@@ -21,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +44,8 @@ class ProfileParameters:
     dimensions: int = 1024
     letters: int = 3
     seed: int = 7
-    most_languages: int = 4096
+    grams_at_once: int = 4096
+    most_prototype_bytes: int = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -58,7 +65,7 @@ def _letter_table() -> np.ndarray:
     return table
 
 
-@cache
+@lru_cache(maxsize=1 << 15)
 def _letter_vector(letter: int, dimensions: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, letter]).integers(0, 2, dimensions, dtype=np.int8) * 2 - 1
 
@@ -74,6 +81,29 @@ def _gram_vectors(grams: np.ndarray, p: ProfileParameters) -> np.ndarray:
     return out
 
 
+def _bundle(vectors: np.ndarray, rows: np.ndarray, grams: np.ndarray, bound: np.ndarray) -> None:
+    """Adds to each row's vector those of its n-grams: occurrences are given by row and number of the n-gram."""
+    wide = len(bound)
+    cells, count = np.unique(rows * wide + grams, return_counts=True)
+    row, gram = cells // wide, cells % wide
+    step = max(1, (1 << 22) // wide)
+    i = 0
+    while i < len(cells):
+        low = int(row[i])
+        j = int(np.searchsorted(row, low + step))
+        span = int(row[j - 1]) - low + 1
+        if span * wide <= 16 * (j - i):
+            table = np.zeros((span, wide), np.float32)
+            table[row[i:j] - low, gram[i:j]] = count[i:j]
+            vectors[low : low + span] += table @ bound
+        else:  # few n-grams a row: only those
+            for a in range(i, j, 4096):
+                b = min(a + 4096, j)
+                begins = np.flatnonzero(np.diff(row[a:b], prepend=-1))
+                vectors[row[a:b][begins]] += np.add.reduceat(bound[gram[a:b]] * count[a:b, None].astype(np.float32), begins)
+        i = j
+
+
 def document_vectors(data: np.ndarray, offsets: np.ndarray, p: ProfileParameters) -> tuple[np.ndarray, np.ndarray]:
     """The unit vector of each row, and which rows have a letter."""
     n = len(offsets) - 1
@@ -100,15 +130,15 @@ def document_vectors(data: np.ndarray, offsets: np.ndarray, p: ProfileParameters
     for k in range(size):
         key = key * np.uint64(0x110000) + windows[first, k].astype(np.uint64)
     _, sample, index = np.unique(key, return_index=True, return_inverse=True)
+    del key
     vectors = np.zeros((n, p.dimensions), np.float32)
-    if len(sample):
-        grams = _gram_vectors(windows[first[sample]], p).astype(np.float32)
-        step = max(1, (1 << 22) // len(sample))
-        for i in range(0, n, step):
-            j = min(i + step, n)
-            mine = slice(*np.searchsorted(owners, [i, j]))
-            counts = np.bincount((owners[mine] - i) * len(sample) + index[mine], minlength=(j - i) * len(sample))
-            vectors[i:j] = counts.reshape(j - i, len(sample)).astype(np.float32) @ grams
+    by_gram = np.argsort(index, kind="stable")  # occurrences by n-gram, rows in order
+    edges = np.searchsorted(index[by_gram], np.arange(0, len(sample) + p.grams_at_once, p.grams_at_once))
+    for k, (i, j) in enumerate(zip(edges, edges[1:])):
+        mine = by_gram[i:j]
+        base = k * p.grams_at_once
+        grams = _gram_vectors(windows[first[sample[base : base + p.grams_at_once]]], p).astype(np.float32)
+        _bundle(vectors, owners[mine], index[mine] - base, grams)
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     np.divide(vectors, length, out=vectors, where=length > 0)
     return vectors, some
@@ -153,9 +183,10 @@ def learn(docs: DataFrame, p: ProfileParameters | None = None, *, text_column: s
     labelled = docs.where(docs[label_column].isNotNull() & docs[text_column].isNotNull()).select(docs[text_column], docs[label_column])
     parts = labelled.mapInArrow(partial, "lang string, salt int, vector binary")
     summed = _add_up(_add_up(parts, ["lang", "salt"]), ["lang"]).select("lang", "vector")
-    rows = sorted(summed.limit(p.most_languages + 1).collect(), key=lambda r: r.lang)
-    if len(rows) > p.most_languages:
-        raise ValueError(f"more than {p.most_languages} languages")
+    most = p.most_prototype_bytes // (4 * p.dimensions)
+    rows = sorted(summed.limit(most + 1).collect(), key=lambda r: r.lang)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} languages, so more than {p.most_prototype_bytes} bytes of prototypes")
     vectors = np.array([np.frombuffer(r.vector) for r in rows]).reshape(len(rows), p.dimensions)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     return Prototypes([r.lang for r in rows], vectors.astype(np.float32))

@@ -214,7 +214,55 @@ def test_language_profiles(spark, odd_docs, no_docs):
     assert untaught.languages == [] and {r.lang_pred for r in language.identify(odd_docs, untaught).collect()} == {"und"}
     assert language.identify(no_docs, model).count() == 0
     with pytest.raises(ValueError, match="languages"):
-        language.learn(df, language.ProfileParameters(most_languages=2))
+        language.learn(df, language.ProfileParameters(most_prototype_bytes=2 * 4096))
+
+
+def brute_vector(text, p):
+    total, size = np.zeros(p.dimensions), p.letters
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+    for word in low.split():
+        line = [0, *map(ord, word), 0]
+        for k in range(len(line) - size + 1):
+            gram = line[k : k + size]
+            if all(gram[1:-1]) and (gram[0] or gram[-1]):
+                bound = np.ones(p.dimensions)
+                for place, letter in enumerate(gram):
+                    bound *= np.roll(language._letter_vector(letter, p.dimensions, p.seed), size - 1 - place)
+                total += bound
+    length = np.linalg.norm(total)
+    return total / length if length else total
+
+
+@pytest.mark.parametrize("at_once", [7, 4096])
+def test_document_vectors_and_predictions_against_brute_force(spark, odd_rows, at_once):
+    p = language.ProfileParameters(dimensions=256, grams_at_once=at_once)
+    texts = [r[1] for r in odd_rows[::5]] + ["a", "İstanbul ΑΣ ß ŉ", "x1y22z", "漢字かな交じり文 漢字", "\n", None, "word " * 3000]
+    raw = [(t or "").encode() for t in texts]
+    got, some = language.document_vectors(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), p)
+    wanted = np.array([brute_vector(t, p) for t in texts])
+    assert np.allclose(got, wanted, atol=1e-5) and some.tolist() == [any(c.isalpha() for c in t or "") for t in texts]
+    if at_once > 7:
+        rows = [(k, t, "fr" if k % 2 else "en") for k, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = language.learn(df, p)
+        proto = np.array([sum(wanted[k] for k, _, x in rows if x == name) for name in ("en", "fr")])
+        proto /= np.linalg.norm(proto, axis=1, keepdims=True)
+        for r in language.identify(df, model, p).collect():
+            near = proto @ wanted[r.doc_id]
+            assert r.lang_pred == (("en", "fr")[near.argmax()] if some[r.doc_id] else "und") and abs(r.score - (max(near.max(), 0) if some[r.doc_id] else 0)) < 1e-4
+
+
+def test_many_different_letters_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    raw = "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 700_000))).encode()
+    language._letter_table()
+    tracemalloc.start()
+    vectors, some = language.document_vectors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), language.ProfileParameters())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert some[0] and abs(np.linalg.norm(vectors) - 1) < 1e-3 and peak < 300 << 20
 
 
 def test_language_of_held_out_documents(spark):
