@@ -49,7 +49,7 @@ def location_hash(source: str, position: int) -> str:
 
 @F.pandas_udf(T.StringType())
 def _text_hashes(text: pd.Series) -> pd.Series:
-    return text.map(text_hash)
+    return text.map(text_hash, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())

@@ -73,6 +73,6 @@ def near_keys(text: Column, threshold: float) -> Column:
 
     @F.pandas_udf("array<binary>")
     def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([keys_of(t, bands, rows) for t in texts], dtype=object)
+        return pd.Series([None if t is None else keys_of(t, bands, rows) for t in texts], dtype=object)
 
     return keys(text)

@@ -17,6 +17,14 @@ def has_text(text: Column) -> Column:
     return text.rlike(f"[^{SPACES}]")
 
 
+def chars(text: Column) -> Column:
+    return F.length(text).cast("long")
+
+
+def octets(text: Column) -> Column:
+    return F.octet_length(text).cast("long")
+
+
 def source_group_of(source: str) -> str:
     return source.rsplit("/", 1)[0] if source.startswith(HUB_PREFIX) else source.split("/", 1)[0]
 

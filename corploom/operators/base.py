@@ -14,6 +14,10 @@ from corploom.errors import ConfigurationError
 GONE = "_gone"
 
 
+#: Makes a column of a text.
+Made = Callable[[Column], Column]
+
+
 @dataclass
 class StepContext:
     """What a step gets in a pass, and where it leaves what it decided."""
@@ -37,9 +41,14 @@ class Step(Protocol):
     name: str
     needs_prepass: bool
 
+    needs_text: bool  # marking reads texts themselves, not only what `text_columns` makes of them
+    shuffles: bool  # marking joins the frame, so texts should have left it
+
     @property
     def reproducible(self) -> bool: ...
 
+    def text_columns(self) -> dict[str, Made]: ...
+
     def parameters(self) -> dict[str, Any]: ...
 
     def mark(self, frame: DataFrame, context: StepContext) -> DataFrame: ...
@@ -47,6 +56,11 @@ class Step(Protocol):
     def report(self, context: StepContext, tally: Tally) -> dict[str, Any] | None: ...
 
 
+def made(frame: DataFrame, name: str, make: Made) -> Column:
+    """A column that slim frames carry and others compute from their texts."""
+    return F.col(name) if name in frame.columns else make(F.col("text"))
+
+
 def alive() -> Column:
     return F.col(GONE).isNull()
 

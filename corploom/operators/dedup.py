@@ -1,15 +1,21 @@
 """dedup: the first of equal, or of nearly equal, documents stays.
 
+No text is joined: where no later step reads texts, the pass writes a slim frame
+first, with digests or keys in place of texts, and everything here runs on that.
+
 Equal texts share a digest of 256 bits, aggregated to the least order number
 before and after the shuffle, so a text that a third of all rows have makes no
 heavy task.
 
 Near duplicates share a key with a document that is kept: the first maximal
-independent set in document order, not the connected components.  Rounds decide
-it in parallel.  A document that is the first owner of all its keys is kept;
-one that shares any key with a kept document is dropped; both leave with their
-keys.  Only keys with more than one owner take part, and a round is one
-aggregate and two joins over slim rows that are written to the shared folder.
+independent set in document order, not the connected components.  Documents with
+the same keys collapse onto the first of them before anything else, by such an
+aggregate: the others go whatever becomes of it, since a document that is not
+kept shares a key with an earlier one that is.  Rounds decide the rest in
+parallel.  A document that is the first owner of all its keys is kept; one that
+shares any key with a kept document is dropped; both leave with their keys.
+Only keys with more than one owner take part, and a round is one aggregate and
+two joins over slim rows that are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corploom.functions import near
-from corploom.operators.base import StepContext, Tally, alive, drop_unless, within
+from corploom.operators.base import Made, StepContext, Tally, alive, drop_unless, made, within
 from corploom.plans.tables import forget, written
 
 
@@ -30,18 +36,18 @@ from corploom.plans.tables import forget, written
 class Against:
     """Another corpus whose matches go too: how to make its kept rows in a pass, and its history."""
 
-    rows: Callable[[set[str]], DataFrame]
+    rows: Callable[[set[str], dict[str, Made]], DataFrame]
     history: list[dict[str, Any]]
     reproducible: bool
 
 
-def first_of_equals(rows: DataFrame) -> DataFrame:
-    """(_ord) of the first row for each text."""
-    return rows.groupBy(digest().alias("key")).agg(F.min("_ord").alias("_ord")).select("_ord")
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
-def digest() -> Column:
-    return F.unhex(F.sha2("text", 256))
+def _one_of_alike(rows: DataFrame, key: Column) -> DataFrame:
+    """(_ord) of the first row for each key."""
+    return rows.groupBy(key.alias("key")).agg(F.min("_ord").alias("_ord")).select("_ord")
 
 
 def first_of_near(keys: DataFrame) -> DataFrame:
@@ -70,19 +76,13 @@ def first_of_near(keys: DataFrame) -> DataFrame:
     return dropped if dropped is not None else shared.select("_ord").limit(0)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of fewer files than there are cores, over all cores; keys cost far more than moving their texts."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    few = len(rows._jdf.inputFiles()) < cores
-    return rows.select("_ord", "text").repartition(cores, "_ord") if few else rows
-
-
 @dataclass(frozen=True)
 class Dedup:
     threshold: float | None = None
     against: Against | None = None
     name = "dedup"
-    needs_prepass = False
+    needs_prepass = needs_text = False
+    shuffles = True
 
     def __post_init__(self) -> None:
         if self.threshold is not None:
@@ -101,25 +101,33 @@ class Dedup:
             found |= {"threshold": self.threshold, "bands": bands, "rows": rows, "hashes": near.BINS, "ngram": near.WORDS, "method": near.METHOD}
         return found | {"against": self.against.history if self.against else None}
 
-    def _keys(self, rows: DataFrame) -> DataFrame:
-        """(key, _ord): one row a key and document."""
+    def text_columns(self) -> dict[str, Made]:
         if self.threshold is None:
-            return rows.select(digest().alias("key"), "_ord")
-        return spread(rows).select(F.explode(near.near_keys(F.col("text"), self.threshold)).alias("key"), "_ord")
+            return {"_digest": digest}
+        return {f"_near_{round(self.threshold * 10**12)}": lambda text: near.near_keys(text, self.threshold)}
+
+    def _keyed(self, frame: DataFrame) -> DataFrame:
+        """(own, _ord) of the documents that are left: the digest of a text, or the array of its keys."""
+        ((name, make),) = self.text_columns().items()
+        own = frame.where(alive()).select(made(frame, name, make).alias("own"), "_ord")
+        return own if name in frame.columns or self.threshold is None else written(own, "dedup-keys")
+
+    def _exploded(self, rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("own").alias("key") if self.threshold is None else F.explode("own").alias("key"), "_ord")
 
     def mark(self, frame: DataFrame, context: StepContext) -> DataFrame:
-        rows = frame.where(alive())
-        if self.threshold is None and self.against is None:
-            return self._marked(frame, first_of_equals(rows), context, keep=True)
-        keys = written(self._keys(rows), "dedup-keys")
+        rows = self._keyed(frame)
         if self.against is not None:
-            theirs = self._keys(self.against.rows(context.shown)).select("key").distinct()
-            matching = written(keys.join(theirs, "key", "left_semi").select("_ord").distinct(), "dedup-against")
+            theirs = self._exploded(self._keyed(self.against.rows(context.shown, self.text_columns()))).select("key").distinct()
+            matching = written(self._exploded(rows).join(theirs, "key", "left_semi").select("_ord").distinct(), "dedup-against")
             frame = self._marked(frame, matching, context, keep=False, second=True)
-            keys = keys.join(matching, "_ord", "left_anti")
-        if self.threshold is not None:
-            return self._marked(frame, first_of_near(keys), context, keep=False)
-        return self._marked(frame, keys.groupBy("key").agg(F.min("_ord").alias("_ord")).select("_ord"), context, keep=True)
+            rows = rows.join(matching, "_ord", "left_anti")
+        if self.threshold is None:
+            return self._marked(frame, _one_of_alike(rows, F.col("own")), context, keep=True)
+        whole = F.md5(F.array_join(F.transform("own", F.hex), ""))
+        first = written(_one_of_alike(rows, whole), "near-first")
+        dropped = first_of_near(self._exploded(rows.join(first, "_ord", "left_semi")))
+        return self._marked(frame, first.join(dropped, "_ord", "left_anti"), context, keep=True)
 
     @staticmethod
     def _marked(frame: DataFrame, orders: DataFrame, context: StepContext, *, keep: bool, second: bool = False) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from corploom.document import Document, from_row
 from corploom.errors import ConfigurationError
-from corploom.functions.text import has_text
-from corploom.operators.base import StepContext, Tally, alive, drop_unless, name_of
+from corploom.functions.text import chars, has_text
+from corploom.operators.base import Made, StepContext, Tally, alive, drop_unless, made, name_of
 
 Predicate = Callable[[Document], bool] | Column
 
@@ -33,6 +33,15 @@ class Filter:
         if not (self.fn is None or isinstance(self.fn, Column) or callable(self.fn)):
             raise ConfigurationError("a filter takes a Column or a function of a document")
 
+    shuffles = False
+
+    @property
+    def needs_text(self) -> bool:
+        return self.fn is not None
+
+    def text_columns(self) -> dict[str, Made]:
+        return {"_has_text": has_text, "_chars": chars}
+
     @property
     def reproducible(self) -> bool:
         return self.fn is None or isinstance(self.fn, Column)
@@ -41,7 +50,8 @@ class Filter:
         return {"fn": str(self.fn) if isinstance(self.fn, Column) else name_of(self.fn), "min_chars": self.min_chars}
 
     def mark(self, frame: DataFrame, context: StepContext) -> DataFrame:
-        frame = drop_unless(frame, has_text(F.col("text")) & (F.length("text") >= self.min_chars), context.number)
+        long_enough = made(frame, "_chars", chars) >= self.min_chars
+        frame = drop_unless(frame, made(frame, "_has_text", has_text) & long_enough, context.number)
         if self.fn is None:
             return frame
         if isinstance(self.fn, Column):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corploom.errors import ConfigurationError
 from corploom.functions import hashing
-from corploom.operators.base import StepContext, Tally, drop_unless, within
+from corploom.operators.base import Made, StepContext, Tally, drop_unless, within
 
 
 def selection(context: StepContext, seed: Any) -> Any:
@@ -30,6 +30,10 @@ class Sample:
     seed: int = 0
     name = "sample"
     reproducible = True
+    needs_text = shuffles = False
+
+    def text_columns(self) -> dict[str, Made]:
+        return {}
 
     def __post_init__(self) -> None:
         if (self.fraction is None) == (self.max_bytes is None):

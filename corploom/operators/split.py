@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corploom.document import Document, from_row
 from corploom.errors import ConfigurationError
 from corploom.functions import hashing
-from corploom.operators.base import StepContext, Tally, alive, drop_unless, name_of, within
+from corploom.operators.base import Made, StepContext, Tally, alive, drop_unless, made, name_of, within
 
 SplitKey = str | Callable[[Document], str]
 
@@ -27,7 +27,14 @@ class Split:
     by: SplitKey
     side: str
     name = "split"
-    needs_prepass = False
+    needs_prepass = shuffles = False
+
+    @property
+    def needs_text(self) -> bool:
+        return callable(self.by)
+
+    def text_columns(self) -> dict[str, Made]:
+        return {"_hash": hashing.content_hash} if self.by == "content" else {}
 
     def __post_init__(self) -> None:
         within("validation", self.validation, 0, 1)
@@ -42,15 +49,15 @@ class Split:
         by = name_of(self.by) if callable(self.by) else self.by
         return dict(by=by, seed=self.seed, side=self.side, validation=self.validation)
 
-    def _key(self) -> Column:
+    def _key(self, frame: DataFrame) -> Column:
         if self.by == "content":
-            return hashing.content_hash(F.col("text"))
+            return made(frame, "_hash", hashing.content_hash)
         if self.by == "source":
             return F.col("source")
         return _keys(self.by)(F.when(alive(), F.struct("text", "source", "position", "lang", "metadata")))
 
     def mark(self, frame: DataFrame, context: StepContext) -> DataFrame:
-        inside = hashing.unit_value(f"split:{self.seed}:", F.coalesce(self._key(), F.lit(""))) < self.validation
+        inside = hashing.unit_value(f"split:{self.seed}:", F.coalesce(self._key(frame), F.lit(""))) < self.validation
         return drop_unless(frame, inside if self.side == "validation" else ~inside, context.number)
 
     def report(self, context: StepContext, tally: Tally) -> None:

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from corploom.document import Document, from_row
 from corploom.errors import ConfigurationError, IncompletePassError
 from corploom.functions import hashing
-from corploom.functions.text import UNDETERMINED, source_group
-from corploom.operators.base import GONE, Step, StepContext, Tally
+from corploom.functions.text import UNDETERMINED, chars, octets, source_group
+from corploom.operators.base import GONE, Made, Step, StepContext, Tally, alive, made
 from corploom.operators.dedup import Against, Dedup
 from corploom.operators.filter import Filter, Predicate
 from corploom.operators.mix import Mix
@@ -135,7 +135,7 @@ class Corpus:
         self._step: Step | None = None
         self._step_index = 0
         self._entry: manifests.HistoryEntry | None = None
-        self._parent_info: manifests.ParentInfo | None = None
+        self._parent_info: manifests.Ancestor | None = None
         self._forget()
 
     def _forget(self) -> None:
@@ -190,14 +190,24 @@ class Corpus:
     def _lineage(self) -> list[Corpus]:
         return [*(self._parent._lineage() if self._parent else []), self]
 
-    def _frame(self, report: PassReport) -> tuple[DataFrame, DataFrame, list[StepContext]]:
-        """The source frame of a new pass, the frame with all marks, and the contexts of the steps."""
+    def _frame(self, report: PassReport, wanted: dict[str, Made] | None = None) -> tuple[DataFrame, DataFrame, list[StepContext]]:
+        """The source frame of a new pass, the frame with all marks, and the contexts of the steps.
+
+        Before the first step that joins, the frame is written without its texts,
+        unless a later step reads them; it then has the ``wanted`` columns of them.
+        """
         spark = session()
         send_package(spark)
         source, _ = self._stream.frame(spark, 0, report)
         frame = source.withColumn(GONE, F.when(F.col("_err_level").isNotNull(), F.lit(-2)).cast("int"))
+        frame = frame.withColumns({"_chars": chars(F.col("text")), "_bytes": octets(F.col("text"))})
         contexts = []
+        steps = [node._step for node in self._lineage()[1:]]
         for number, node in enumerate(self._lineage()[1:], 1):
+            rest = steps[number - 1 :]
+            if getattr(node._step, "shuffles", False) and "text" in frame.columns and not any(getattr(s, "needs_text", True) for s in rest):
+                made_of_text = {k: v for s in rest for k, v in s.text_columns().items()} | (wanted or {})
+                frame = written(_without_texts(frame, made_of_text), "slim")
             context = StepContext(number, node._step_index, node._bytes_by_lang or {}, report.shown)
             frame = node._step.mark(frame, context)
             contexts.append(context)
@@ -213,7 +223,7 @@ class Corpus:
             _, frame, _ = self._parent._frame(report)
             if report.policies and "raise" in {p for _, p in report.policies}:
                 self._stream.settle(frame.where("_err_level is not null"), report)
-            sizes = F.sum(F.octet_length("text").cast("long")).alias("bytes")
+            sizes = F.sum("_bytes").alias("bytes")
             rows = frame.where(f"{GONE} is null").groupBy("lang").agg(sizes, F.min("_ord").alias("first")).orderBy("first").collect()
             self._bytes_by_lang = {r.lang: r.bytes for r in rows}
 
@@ -225,12 +235,12 @@ class Corpus:
         shown: set[str] = set()
         self._prepare(shown)
         report = PassReport(shown)
-        source, frame, contexts = self._frame(report)
-        hashed = hashing.content_hash(F.coalesce("text", F.lit(""))) if fingerprint else F.lit(None).cast("string")
+        source, frame, contexts = self._frame(report, {"_hash": hashing.content_hash} if fingerprint else None)
+        hashed = made(frame, "_hash", lambda text: hashing.content_hash(F.coalesce(text, F.lit("")))) if fingerprint else F.lit(None).cast("string")
         hashed = F.when(F.col(GONE).isNull(), hashed)
         slim = frame.select(
-            "_ord", GONE, "lang", "source", "position", source_group(F.col("source")).alias("group"), F.length("text").cast("long").alias("chars"),
-            F.octet_length("text").cast("long").alias("bytes"), hashed.alias("content_hash"), "_bad", "_err_level", "_err_message",
+            "_ord", GONE, "lang", "source", "position", source_group(F.col("source")).alias("group"), F.col("_chars").alias("chars"),
+            F.col("_bytes").alias("bytes"), hashed.alias("content_hash"), "_bad", "_err_level", "_err_message",
         )
         rows = written(slim, "pass")
         self._stream.settle(rows.where("_err_level is not null"), report)
@@ -261,18 +271,18 @@ class Corpus:
 
     def _recorded(self) -> list[dict[str, Any]]:
         info = self._lineage()[0]._parent_info
-        saved = manifests.whole_history(info.history, info.parent) if info else []
+        saved = info.all_entries if info else []
         return saved + [h.to_dict() for h in self.history]
 
     def _as_against(self) -> Against:
-        def rows(shown: set[str]) -> DataFrame:
+        def rows(shown: set[str], wanted: dict[str, Made]) -> DataFrame:
             self._prepare(shown)
             report = PassReport(shown)
-            _, frame, _ = self._frame(report)
+            _, frame, _ = self._frame(report, wanted)
             return frame.where(f"{GONE} is null")
 
         history = self.history
-        return Against(rows, [h.to_dict() for h in history], manifests.all_reproducible(history, self._lineage()[0]._parent_info))
+        return Against(rows, [h.to_dict() for h in history], manifests.is_reproducible(history, self._lineage()[0]._parent_info))
 
     def source_paths(self) -> tuple[Path, ...]:
         return self._stream.traits.paths
@@ -286,9 +296,9 @@ class Corpus:
             if out is None:
                 raise IncompletePassError("No complete pass yet: run one, such as stats(), first")
             came = before or out
-            records.append(manifests.StepRecord(StepCounts(entry.op, came.documents, came.bytes, out.documents, out.bytes), node._last_selection))
+            records.append(manifests.Selected(StepCounts(entry.op, came.documents, came.bytes, out.documents, out.bytes), node._last_selection))
             before = out
-        return manifests.Provenance(tuple(self.history), tuple(records), lineage[0]._parent_info, manifests.ReaderReport.of(self._stream))
+        return manifests.Provenance(tuple(self.history), tuple(records), lineage[0]._parent_info, manifests.reader_report(self._stream))
 
     def stats(self) -> CorpusStats:
         return self.run_pass().stats()
@@ -309,11 +319,21 @@ class Corpus:
         stream, saved = storage.open_saved(Path(path), verify=verify)
         corpus = cls(stream)
         corpus._entry = manifests.HistoryEntry("load", {"path": str(Path(path)), "fingerprint": saved.stats.fingerprint})
-        corpus._parent_info = saved.as_parent()
-        corpus._step_index = saved.steps_so_far  # selection values never repeat those of steps before the save
+        corpus._parent_info = saved
+        corpus._step_index = len(saved.all_entries)  # selection values never repeat those of steps before the save
         return corpus
 
 
+def _without_texts(frame: DataFrame, columns: dict[str, Made]) -> DataFrame:
+    """The frame with columns made of the texts of its kept documents in place of the texts; few files use all cores."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if any(name.startswith("_near") for name in columns) and len(frame._jdf.inputFiles()) < cores:
+        frame = frame.repartition(cores, "_ord")
+    text = F.when(alive(), F.col("text"))
+    derived = [make(text).alias(name) for name, make in columns.items() if name not in frame.columns]
+    return frame.select("_ord", GONE, "lang", "source", "position", "_chars", "_bytes", "_bad", "_err_level", "_err_message", *derived)
+
+
 class _Texts:
     def __init__(self, corpus: Corpus) -> None:
         self._corpus = corpus

@@ -91,17 +91,17 @@ def save(corpus: Corpus, destination: Path, *, overwrite: bool) -> CorpusStats:
         stats = done.stats()
         size = sum(p.stat().st_size for p in (directory / DATA).rglob("*.parquet"))
         done.publish()
-        text = manifests.Manifest(corpus.provenance(), stats, {DATA: {"rows": stats.documents, "bytes": size}}).encode()
+        text = manifests.written_form(corpus.provenance(), stats, {DATA: {"rows": stats.documents, "bytes": size}})
         (directory / MANIFEST).write_text(text, encoding="utf-8")
     return stats
 
 
-def open_saved(directory: Path, *, verify: bool) -> tuple[DocumentStream, manifests.SavedManifest]:
+def open_saved(directory: Path, *, verify: bool) -> tuple[DocumentStream, manifests.Ancestor]:
     """A stream over a saved corpus, checked in every pass if ``verify`` is set, and its manifest."""
     described = directory / MANIFEST
     if not described.is_file():
         raise ManifestError(f"{described}: no manifest; is this a saved corpus?")
-    saved = manifests.decode(described.read_text(encoding="utf-8"), str(described))
+    saved = manifests.read_form(described.read_text(encoding="utf-8"), str(described))
     data = directory / DATA
 
     def make(spark: SparkSession, first: int, report: PassReport) -> tuple[DataFrame, int]:
@@ -119,7 +119,7 @@ def open_saved(directory: Path, *, verify: bool) -> tuple[DocumentStream, manife
     return DocumentStream(make, lambda: [str(data)], "raise", Traits(paths=(directory,))), saved
 
 
-def _verify(rows: DataFrame, saved: manifests.SavedManifest) -> None:
+def _verify(rows: DataFrame, saved: manifests.Ancestor) -> None:
     """Ids and content hashes are recomputed in the tasks, and the fingerprint from them."""
     own_id = hashing.document_id(F.col("source"), F.col("position"))
     checked = rows.select("_ord", "source", "position", "id", F.col("content_hash").alias("stored"), hashing.content_hash(F.col("text")).alias("content_hash"), own_id.alias("own"))

@@ -8,13 +8,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corploom.errors import ConfigurationError
+
 _own: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a fresh one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; a fresh one only where that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or next((at for session, at in _own if session is spark), None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigurationError("set spark.checkpoint.dir to a folder that all executors share: a folder of one machine would lose tables")
         named = f"file://{tempfile.mkdtemp(prefix='corploom-')}"
         _own.append((spark, named))
     return named.rstrip("/")

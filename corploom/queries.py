@@ -12,7 +12,7 @@ from corploom.document import Document
 from corploom.functions import near
 from corploom.functions.text import SPACES
 from corploom.operators.filter import Filter
-from corploom.operators.mix import Mix, fractions_for, tagged
+from corploom.operators.mix import Balance, Mix
 from corploom.operators.sample import Sample
 from corploom.operators.split import Split
 from corploom.plans.corpus import Corpus, Pass
@@ -201,28 +201,28 @@ _ALPHA = f"WITH {_BYTES}, s AS (SELECT lang, n, pow(n, 0.3) / sum(pow(n, 0.3)) O
 _WEIGHTS = {"de": 1.0, "en": 2.0, "fr": 1.0}
 
 
-def _available(spark: SparkSession, sf: str) -> dict[str, int]:
+def _available(spark: SparkSession, sf: str) -> Balance:
     corpus = documents(spark, sf).mix(alpha=0.3)
     corpus._prepare(set())
-    return tagged(corpus._bytes_by_lang)
+    return Balance(corpus._bytes_by_lang)
 
 
 @query(f"{_ALPHA} SELECT lang, round(share, 9) AS share FROM s")
 def mix_alpha_shares(spark: SparkSession, sf: str) -> DataFrame:
-    shares = Mix(alpha=0.3).shares(_available(spark, sf))
+    shares = Mix(alpha=0.3).parts(_available(spark, sf))
     return spark.createDataFrame([(k, round(v, 9)) for k, v in shares.items()], "lang string, share double")
 
 
 @query("SELECT * FROM (VALUES ('de', 0.25::DOUBLE), ('en', 0.5::DOUBLE), ('fr', 0.25::DOUBLE)) t(lang, share) WHERE lang IN (SELECT lang FROM documents)")
 def mix_weight_shares(spark: SparkSession, sf: str) -> DataFrame:
-    shares = Mix(weights=_WEIGHTS).shares(_available(spark, sf))
+    shares = Mix(weights=_WEIGHTS).parts(_available(spark, sf))
     return spark.createDataFrame(list(shares.items()), "lang string, share double")
 
 
 @query(f"{_ALPHA} SELECT lang, round(least(1, share * (SELECT min(n / share) FROM s) / n), 9) AS keep FROM s")
 def mix_keep_fractions(spark: SparkSession, sf: str) -> DataFrame:
-    available = _available(spark, sf)
-    keep = fractions_for(Mix(alpha=0.3).shares(available), available, None)
+    balance = _available(spark, sf)
+    keep = balance.kept(Mix(alpha=0.3).parts(balance), None)
     return spark.createDataFrame([(k, round(v, 9)) for k, v in keep.items()], "lang string, keep double")
 
 

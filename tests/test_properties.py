@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corploom import Corpus, read
 from corploom.functions import hashing, near, text
-from corploom.operators.mix import fractions_for, normalized
+from corploom.operators.mix import Balance, proportions
 from corploom.plans.manifest import whole_history
 from corploom.plans.stats import fingerprint
 
@@ -96,12 +96,12 @@ def test_source_groups_agree(spark):
 
 @given(st.dictionaries(st.sampled_from("abcd"), st.integers(1, 10**9), min_size=1))
 def test_mixing_arithmetic(available):
-    shares = normalized({k: v**0.3 for k, v in available.items()})
-    keep = fractions_for(shares, available, None)
+    shares = proportions({k: v**0.3 for k, v in available.items()})
+    keep = Balance(available).kept(shares, None)
     assert sum(shares.values()) == pytest.approx(1) and all(0 < f <= 1 for f in keep.values()) and max(keep.values()) == pytest.approx(1)
-    out = normalized({k: available[k] * keep[k] for k in available})
+    out = proportions({k: available[k] * keep[k] for k in available})
     assert all(out[k] == pytest.approx(shares[k]) for k in shares)
-    assert normalized({"a": 0}) == {"a": 0.0} and fractions_for({}, {}, 5) == {}
+    assert proportions({"a": 0}) == {"a": 0.0} and Balance({}).kept({}, 5) == {}
 
 
 def test_near_duplicates_are_found_as_often_as_promised():
