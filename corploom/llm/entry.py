@@ -86,4 +86,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": queries_sql.QUALITY,
     "op6_content_addressed_warc": queries_sql.WARC,
     "op9_pfair_mixing": queries_sql.MIXING,
+    "op10_minhash_components": queries_sql.NEAR,
 }

@@ -11,18 +11,19 @@
    is confirmed on the full sets, recomputed from the texts.
 5. Confirmed links go through large-star and small-star.
 6. Buckets whose other members now lie in different components may still hide
-   links between two non-centres.  Only for those, members meet in blocks of
-   bounded size, by signature first and full sets after, and components run
-   again.  So every link between documents that share a band is found.
+   links between two non-centres.  Only for those, members outside of a bucket's
+   most frequent component meet the rest in blocks of bounded size, by signature
+   first and full sets after, and components run again.  So every link between documents that share a band is found.
 
 With 50 bands of 6 rows a pair at similarity 0.8 shares no band with a
 probability of 3e-7.
 
 Cases: a null text or one without words has the empty set and is linked with
 nothing; a text with fewer words than a shingle is one shingle; repeated rows
-and equal texts share a component; rows with a null id keep a null component;
-an empty table gives an empty result; other columns are not read here and pass
-through `drop_near_duplicates` unchanged.
+and equal texts share a component; of ties the least id leads; a very long text
+is shingled whole, in memory of about a hundred times its bytes; rows with a null
+id keep a null component; an empty table gives an empty result; other columns
+are not read here and pass through `drop_near_duplicates` unchanged.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corploom.llm import blocks, shared
@@ -44,6 +45,7 @@ U64 = np.uint64
 #: the small cases tells nothing about the large ones.
 _BOTH_GROW = "merge"
 _FAN = 256  # edges of one node, or members of one bucket, that meet in one group
+_WIDE = 2048  # members of one bucket that those meet there
 
 
 @dataclass(frozen=True)
@@ -223,37 +225,41 @@ def _by_sets(edges: DataFrame, texts: DataFrame, p: NearParameters) -> DataFrame
 def _blocks_of_buckets(members: DataFrame, signatures: DataFrame, p: NearParameters) -> DataFrame:
     """Pairs (a, b) of different labels in one bucket that their signatures allow.
 
-    Members (key, doc, label) of a bucket fall into chunks of about `_FAN`, and
-    each pair of chunks is one group: bounded however large the bucket is.
+    Members (key, doc, label) of a bucket meet only those of other labels: its
+    members outside of the most frequent label, in chunks of about `_FAN`, meet
+    all of them, in chunks of about `_WIDE`.  A bucket is copied once for every
+    `_FAN` of its minority, so one stray member among a million costs a million
+    comparisons; every group is bounded however large the bucket is.
     """
-    chunks = F.ceil(F.col("size") / _FAN).cast("int")
-    sized = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
-    own = F.pmod(F.xxhash64("doc"), chunks).cast("int")
-    met = sized.select("key", "doc", "label", own.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    met = met.select("key", "doc", "label", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    met = met.join(signatures.select(F.col("doc_id").alias("doc"), "signature", "n_shingles"), "doc")
-    met = met.select("key", "low", "high", "doc", "label", "chunk", "signature", "n_shingles")
+    sizes = members.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.sum("count").alias("size"))
+    chunks, parts = F.ceil((F.col("size") - F.col("most.count")) / _FAN), F.ceil(F.col("size") / _WIDE)
+    sizes = sizes.select("key", F.col("most.label").alias("major"), chunks.cast("int").alias("chunks"), parts.cast("int").alias("parts"))
+    sized = shared.lookup(members, sizes, "key")
+    minor = F.col("label") != F.col("major")
+    chunk, part = F.pmod(F.xxhash64("doc"), "chunks").cast("int"), F.pmod(F.xxhash64("doc", F.lit(1)), "parts").cast("int")
+    left = sized.where(minor).select("key", "doc", "label", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"))
+    right = sized.select(
+        "key", "doc", "label", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), part.alias("part"), F.when(minor, F.lit(2)).otherwise(F.lit(3)).alias("side")
+    )
+    met = left.union(right).join(signatures.select(F.col("doc_id").alias("doc"), "signature", "n_shingles"), "doc")
+    met = met.select("key", "chunk", "part", "doc", "label", "side", "signature", "n_shingles")
 
     def pairs(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        doc, label, chunk, size = (group.column(k).to_numpy() for k in ("doc", "label", "chunk", "n_shingles"))
+        doc, label, side, size = (group.column(k).to_numpy() for k in ("doc", "label", "side", "n_shingles"))
         marks = blocks.utf8(group.column("signature"))[0].reshape(len(doc), p.hashes)
-        within = group.column("low")[0].as_py() == group.column("high")[0].as_py()
-        low = group.column("low")[0].as_py()
-        a_all, b_all = [], []
-        for i in range(len(doc)):
-            can = (label != label[i]) & (doc > doc[i]) & (100 * np.minimum(size, size[i]) >= p.percent * np.maximum(size, size[i]))
-            if not within:
-                can &= chunk != chunk[i]
-            at = np.flatnonzero(can)
-            if len(at):
-                at = at[(marks[at] == marks[i]).sum(axis=1) >= p.least_matches]
-                a_all.append(np.full(len(at), doc[i]))
-                b_all.append(doc[at])
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a_all or none).astype(np.int64), "b": np.concatenate(b_all or none).astype(np.int64)})
-
-    return met.groupBy("key", "low", "high").applyInArrow(pairs, "a long, b long").distinct()
+        found = [np.zeros((0, 2), np.int64)]
+        other = np.flatnonzero(side > 1)
+        for i in np.flatnonzero(side == 1):
+            # Two members outside of the majority meet twice; the smaller one leads.
+            can = (label[other] != label[i]) & ((side[other] == 3) | (doc[other] > doc[i]))
+            at = other[can & (100 * np.minimum(size[other], size[i]) >= p.percent * np.maximum(size[other], size[i]))]
+            at = at[(marks[at] == marks[i]).sum(axis=1) >= p.least_matches]
+            found.append(np.stack([np.minimum(doc[at], doc[i]), np.maximum(doc[at], doc[i])], axis=1))
+        both = np.concatenate(found)
+        return pa.table({"a": both[:, 0].copy(), "b": both[:, 1].copy()})
+
+    return met.groupBy("key", "chunk", "part").applyInArrow(pairs, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: NearParameters | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -309,14 +315,42 @@ def _by_id(whole: DataFrame) -> DataFrame:
     return whole.groupBy("doc_id").agg(F.min("label").alias("label"))
 
 
-def drop_near_duplicates(docs: DataFrame, p: NearParameters | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each component, that with the least id, with all its columns; repeated rows stay once."""
+_NODE, _CONTENT, _PART, _AT = "__near_node", "__near_content", "__near_part", "__near_at"
+_ROW_BITS = 33  # of monotonically_increasing_id, below the partition
+
+
+def _with_nodes(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """One row of each (id, text) with a number of its own, in the order of ids, null ones last."""
+    spark = docs.sparkSession
+    content = F.coalesce(F.sha2(docs[text_column], 256), F.lit("null")).alias(_CONTENT)
+    known = shared.written(docs.select(docs[id_column].cast("long").alias("id"), content).distinct(), "near-known")
+    order = [F.col("id").isNull(), F.col("id"), F.col(_CONTENT)]
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias(_AT)
+    ranged = known.repartitionByRange(shared.shuffle_parts(spark), *order).sortWithinPartitions(*order)
+    ranged = shared.written(ranged.select("*", F.spark_partition_id().alias(_PART), at), "near-ranged")
+    before = F.coalesce(F.sum("n").over(Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy(_PART).agg(F.count("*").alias("n")).select(_PART, before.alias("before"))  # a row a partition
+    nodes = ranged.join(F.broadcast(offsets), _PART).select("id", F.col(_CONTENT).alias("content"), (F.col("before") + F.col(_AT)).alias(_NODE))
+    keyed = docs.select("*", content)
+    met = keyed.join(nodes.hint(_BOTH_GROW), (keyed[_CONTENT] == nodes["content"]) & keyed[id_column].cast("long").eqNullSafe(nodes["id"]))
+    return shared.written(met.select(*(keyed[c] for c in docs.columns), _NODE).dropDuplicates([_NODE]), "near-rows")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, p: NearParameters | None = None, *, id_column: str = "doc_id", text_column: str = "text", broadcast_ids: int = 2_000_000
+) -> DataFrame:
+    """One document of each component, that with the least id, with all its columns.
+
+    Where ids are distinct no text moves on their account, but for more than
+    `broadcast_ids` documents to drop.  Where some are repeated or null, rows
+    count as one document if they agree in id and text, and then stay once; rows
+    with one id and other texts, or with no id, are documents of their own.
+    """
+    if not docs.groupBy(docs[id_column]).count().where((F.col("count") > 1) | F.col(id_column).isNull()).isEmpty():
+        names, docs, id_column = docs.columns, _with_nodes(docs, id_column, text_column), _NODE
+    else:
+        names = docs.columns
     found = near_duplicates(docs, p, id_column=id_column, text_column=text_column)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_column)).distinct()
-    mark = "__nth_of_id"
-    nth = F.row_number().over(Window.partitionBy(id_column).orderBy(F.xxhash64(text_column)))
-    return docs.join(gone, id_column, "left_anti").withColumn(mark, nth).where(_first_or_null(id_column, mark)).select(*(docs.columns))
-
-
-def _first_or_null(id_column: str, mark: str) -> Column:
-    return (F.col(mark) == 1) | F.col(id_column).isNull()
+    gone = shared.written(found.where("doc_id != component_id").select(F.col("doc_id").alias(id_column)), "near-gone")
+    few = gone.count() <= broadcast_ids
+    return docs.join(F.broadcast(gone) if few else gone.hint(_BOTH_GROW), id_column, "left_anti").select(*names)

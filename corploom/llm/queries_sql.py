@@ -119,3 +119,24 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
        CASE WHEN stored THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT stored THEN first END AS refers_to
 FROM p
 """
+
+NEAR = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+s AS (
+    SELECT doc_id, CASE WHEN len(ws) >= 2 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) ELSE ws END AS shingles FROM w
+),
+n AS (SELECT doc_id, len(shingles)::BIGINT AS n, hash(list_sort(shingles)) AS h, list_sort(shingles) AS shingles FROM s),
+r AS (SELECT min(doc_id) AS doc_id, any_value(n) AS n, h, shingles FROM n WHERE n > 0 GROUP BY h, shingles),
+e AS (SELECT doc_id, n, unnest(shingles) AS shingle FROM r),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+),
+arcs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS least FROM r UNION SELECT arcs.b, reach.least FROM reach JOIN arcs ON arcs.a = reach.node WHERE reach.least < arcs.b),
+label AS (SELECT node, min(least) AS least FROM reach GROUP BY node)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(label.least, n.doc_id) AS component_id, n.doc_id = coalesce(label.least, n.doc_id) AS kept
+FROM n LEFT JOIN r ON n.h = r.h AND n.shingles = r.shingles LEFT JOIN label ON label.node = r.doc_id
+"""

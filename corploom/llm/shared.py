@@ -36,11 +36,12 @@ def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     ``rows`` is read three times, so it should be a written or cheap table.
     """
     parts = shuffle_parts(rows.sparkSession)
-    limit = max(rows.count() // (4 * parts), 1000)
-    hot = written(rows.groupBy(key).count().where(F.col("count") > limit).select(key), "hot-keys")
-    if hot.isEmpty():
+    n = rows.count()
+    limit = max(n // (4 * parts), 1000)
+    found = rows.groupBy(key).count().where(F.col("count") > limit).select(key).collect() if n > limit else []  # at most 4 P
+    if not found:
         return rows.join(table, key)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(key).schema))
     warm = rows.join(hot, key, "left_semi").join(F.broadcast(table.join(hot, key, "left_semi")), key)
     cold = rows.join(hot, key, "left_anti").join(table, key)
     return warm.unionByName(cold)
