@@ -4,12 +4,12 @@ A window is a fixed number of consecutive words of one document.  A word goes
 when a window covers it whose word sequence also starts in a document with a
 smaller id; windows are judged on the input.
 
-Texts shuffle once, into blocks of a few MB by a hash of the id, and three
-passes read that one shuffle:
+Texts shuffle once, each compressed, into blocks of a few MB by a hash of the id,
+and three passes read that one shuffle:
 
 1. Each block marks the count-min cells of its windows.  Its partial sketch is
-   kept sparse, cut by range of cells and compressed, at one to two bytes a
-   window and row of the sketch; the task of a range merges the partial
+   kept sparse, cut by range of cells and coded in about log2(cells a mark) + 3
+   bits a window and row of the sketch, however short a message is; the task of a range merges the partial
    sketches of all blocks and returns to each block which of its cells were
    marked twice or more.  A count is never under the true one, so no repeated
    window is lost.  The sketch has a fixed number of cells per window of the
@@ -23,9 +23,17 @@ passes read that one shuffle:
 
 A window that a third of all documents share costs one entry a block.
 
+Blocks and ranges meet in one message each, so both grow with the corpus, blocks
+from `block_bytes` to `most_block_bytes` and ranges from 2**`cell_bits` to
+2**`most_cell_bits` cells: at 1 TB, 30,000 blocks and 20,000 ranges exchange
+messages of some 280 windows, together 0.9 bytes for each byte of text.
+
+
 Cases: a null or empty text has no words, and is returned with none; texts
 shorter than a window lose nothing; rows with one id do not affect each other;
-a null id counts as the largest; an empty table gives an empty result; other
+a null id counts as the largest; rows with one id and one length share a block;
+a very long text is a block of its own, in memory of about fifteen times its
+bytes; an empty table gives an empty result; other
 columns, whatever their names, pass through `drop_repeated_passages` unchanged
 but for the text and, if named, its length.
 """
@@ -45,11 +53,11 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corploom.llm import blocks, shared
 
 U64 = np.uint64
-_CELL_BITS = 24  # cells of one range of the sketch: 16 M, one byte each while merged
 _NO_ID = np.iinfo(np.int64).max
 _SALTS = (0x8B72E3C1F4A6D905, 0x3D4F1A9E6C8B2705)
 MESSAGE = "block int, kind int, part int, payload binary"
@@ -58,9 +66,12 @@ MESSAGE = "block int, kind int, part int, payload binary"
 @dataclass(frozen=True)
 class SubstringParameters:
     window: int = 13
-    block_bytes: int = 4 << 20
+    block_bytes: int = 8 << 20
+    most_block_bytes: int = 32 << 20
     cells_per_window: int = 8
     bytes_per_word: int = 6
+    cell_bits: int = 24  # of one range of the sketch: a cell is one byte while it is merged
+    most_cell_bits: int = 26
 
 
 @dataclass(frozen=True)
@@ -68,19 +79,61 @@ class _Layout:
     size: int
     blocks: int
     ranges: int
+    cell_bits: int
+
+    @classmethod
+    def of(cls, total: int, least_blocks: int, p: SubstringParameters) -> _Layout:
+        size, bits = p.block_bytes, p.cell_bits
+        while total // size > 8192 and 2 * size <= p.most_block_bytes:
+            size *= 2
+        cells = total // p.bytes_per_word * p.cells_per_window
+        while cells >> bits > 4096 and bits < p.most_cell_bits:
+            bits += 1
+        return cls(p.window, max(least_blocks, -(-total // size)), max(1, -(-cells >> bits)), bits)
 
 
 def _squeeze(values: np.ndarray) -> bytes:
-    """Sorted unsigned 32-bit values as compressed byte planes of their differences."""
-    deltas = np.diff(values, prepend=np.uint32(0)).astype("<u4")
-    planes = deltas.view(np.uint8).reshape(-1, 4).T.tobytes()
-    return struct.pack("<I", len(values)) + zstandard.ZstdCompressor(level=1).compress(planes)
+    """Sorted unsigned values as an Elias-Fano code: low bits as they are, high bits as gaps in unary."""
+    n = len(values)
+    base = int(values[0])
+    values = values - values[0]
+    b = max(0, (int(values[-1]) + 1).bit_length() - n.bit_length())
+    unary = np.zeros(n + (int(values[-1]) >> b) + 1, np.uint8)
+    unary[(values >> values.dtype.type(b)).astype(np.int64) + np.arange(n)] = 1
+    low = np.empty((b, n), np.uint8)
+    for k in range(b):
+        low[k] = values >> values.dtype.type(k) & values.dtype.type(1)
+    return struct.pack("<IBQ", n, b, base) + np.packbits(low.ravel()).tobytes() + np.packbits(unary).tobytes()
+
+
+def _expand(blob: bytes, kind: type = np.uint32) -> np.ndarray:
+    n, b, base = struct.unpack_from("<IBQ", blob)
+    at = 13 + (n * b + 7) // 8
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=at)))[:n] - np.arange(n)
+    out = high.astype(kind) << kind(b)
+    low = np.unpackbits(np.frombuffer(blob, np.uint8, at - 13, 13), count=n * b).reshape(b, n)
+    for k in range(b):
+        out |= low[k].astype(kind) << kind(k)
+    return out + kind(base)
+
 
+def _flags(marks: np.ndarray) -> bytes:
+    """Bits, compressed where that is shorter."""
+    raw = np.packbits(marks).tobytes()
+    packed = _pack(raw)
+    return b"\1" + packed if len(packed) < len(raw) else b"\0" + raw
 
-def _expand(blob: bytes) -> np.ndarray:
-    (n,) = struct.unpack_from("<I", blob)
-    planes = zstandard.ZstdDecompressor().decompress(blob[4:], max_output_size=max(4 * n, 1))
-    return np.cumsum(np.frombuffer(planes, np.uint8).reshape(4, n).T.copy().view("<u4").ravel(), dtype=np.uint32)
+
+def _read_flags(blob: bytes, n: int) -> np.ndarray:
+    raw = _unpack(blob[1:]) if blob[0] else blob[1:]
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n)
+
+
+def _marks(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of a message, and which of them its block marked twice or more."""
+    (size,) = struct.unpack_from("<I", blob)
+    cells = _expand(blob[4 : 4 + size])
+    return cells, _read_flags(blob[4 + size :], len(cells))
 
 
 def _pack(raw: bytes) -> bytes:
@@ -105,16 +158,24 @@ def _tidied(group: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     return run
 
 
+def _unpacked(packed: pa.ChunkedArray) -> pa.Array:
+    """Texts as bytes, from a column of compressed ones."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x.as_buffer()) if x.is_valid else b"" for x in packed], pa.binary())
+
+
 class _Windows:
     """All windows of one block: exact keys, sketch cells, and where they start."""
 
-    def __init__(self, text: pa.ChunkedArray, size: int) -> None:
-        self.data, self.offsets, _ = blocks.utf8(text)
+    def __init__(self, packed: pa.ChunkedArray, lay: _Layout) -> None:
+        self.data, self.offsets, _ = blocks.utf8(_unpacked(packed))
+        self.cell_bits, size = lay.cell_bits, lay.size
         self.words, firsts, seconds, starts, rows, base = [], [], [], [], [], 0
         for i, j in blocks.row_slices(self.offsets):
             words = blocks.split_words(self.data[self.offsets[i] : self.offsets[j]], self.offsets[i : j + 1] - self.offsets[i])
             at, first = blocks.window_hashes(words.hashes(0), words.rows, size)
             _, second = blocks.window_hashes(words.hashes(1), words.rows, size, 1)
+            del words.chunks  # four times the size of the words themselves
             self.words.append((i, base, words))
             firsts.append(first)
             seconds.append(second)
@@ -131,12 +192,12 @@ class _Windows:
     def cells(self, row: int, ranges: int) -> np.ndarray:
         """Cell of each window in one row of the sketch: range number, then the cell inside it."""
         h = blocks.mix64(self.first ^ U64(_SALTS[row]))
-        return ((((h >> U64(40)) * U64(ranges)) >> U64(24)) << U64(_CELL_BITS)) | (h & U64((1 << _CELL_BITS) - 1))
+        return ((((h >> U64(40)) * U64(ranges)) >> U64(24)) << U64(self.cell_bits)) | (h & U64((1 << self.cell_bits) - 1))
 
 
-def _by_range(sorted_cells: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
-    edges = np.searchsorted(sorted_cells, np.arange(ranges + 1, dtype=U64) << U64(_CELL_BITS))
-    for r in range(ranges):
+def _by_range(sorted_cells: np.ndarray, lay: _Layout) -> Iterator[tuple[int, int, int]]:
+    edges = np.searchsorted(sorted_cells, np.arange(lay.ranges + 1, dtype=U64) << U64(lay.cell_bits))
+    for r in range(lay.ranges):
         if edges[r + 1] > edges[r]:
             yield r, edges[r], edges[r + 1]
 
@@ -150,7 +211,7 @@ def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 @_tidied
 def _sketch(block: pa.Table, text_at: int, lay: _Layout) -> pa.Table:
     """Pass 1: the sparse partial sketch of a block, by row and range."""
-    w = _Windows(block.column(text_at), lay.size)
+    w = _Windows(block.column(text_at), lay)
     number = block.column(0)[0].as_py()
     out = []
     for row in range(len(_SALTS)):
@@ -162,24 +223,24 @@ def _sketch(block: pa.Table, text_at: int, lay: _Layout) -> pa.Table:
         at = np.flatnonzero(first)
         twice = np.diff(at, append=len(cells)) > 1
         cells = cells[at]
-        marked = ((cells & U64((1 << _CELL_BITS) - 1)) << U64(1) | twice.astype(U64)).astype(np.uint32)
-        for r, i, j in _by_range(cells, lay.ranges):
-            out.append((number, row, row * lay.ranges + r, _squeeze(marked[i:j])))
+        own = (cells & U64((1 << lay.cell_bits) - 1)).astype(np.uint32)
+        for r, i, j in _by_range(cells, lay):
+            code = _squeeze(own[i:j])
+            out.append((number, row, row * lay.ranges + r, struct.pack("<I", len(code)) + code + _flags(twice[i:j])))
     return _table(out)
 
 
 @_tidied
-def _merge_sketch(parts: pa.Table) -> pa.Table:
+def _merge_sketch(parts: pa.Table, cell_bits: int) -> pa.Table:
     """The counts of one range over all blocks, and back to each block its cells counted twice or more."""
-    counts = np.zeros(1 << _CELL_BITS, np.uint8)
+    counts = np.zeros(1 << cell_bits, np.uint8)
     rows = parts.to_pydict()
     for blob in rows["payload"]:
-        marked = _expand(blob)
-        cells = marked >> 1
-        counts[cells] = np.minimum(counts[cells] + 1 + (marked & 1).astype(np.uint8), 2)
+        cells, twice = _marks(blob)
+        counts[cells] = np.minimum(counts[cells] + 1 + twice, 2)
     out = []
     for block, kind, part, blob in zip(*(rows[k] for k in ("block", "kind", "part", "payload"))):
-        cells = _expand(blob) >> 1
+        cells, _ = _marks(blob)
         again = cells[counts[cells] >= 2]
         if len(again):
             out.append((block, kind, part, _squeeze(again)))
@@ -193,7 +254,7 @@ class _Candidates:
         maybe = np.ones(len(w.first), bool)
         for row in range(len(_SALTS)):
             mine = sorted((part - row * lay.ranges, blob) for kind, part, blob in answers if kind == row)
-            again = [(U64(r) << U64(_CELL_BITS)) | _expand(blob).astype(U64) for r, blob in mine]
+            again = [(U64(r) << U64(lay.cell_bits)) | _expand(blob).astype(U64) for r, blob in mine]
             again = np.concatenate(again) if again else np.zeros(0, U64)
             at = np.flatnonzero(maybe)
             cells = w.cells(row, lay.ranges)[at]
@@ -234,13 +295,14 @@ def _exact_keys(block: pa.Table, answers: pa.Table, id_at: int, text_at: int, la
     """Pass 2: exact keys of the windows estimated repeated, each with the smallest id in this block."""
     if not block.num_rows or not answers.num_rows:
         return _table([])
-    c = _Candidates(_Windows(block.column(text_at), lay.size), _ids(block, id_at), _answers(answers), lay)
-    keys = np.stack([c.first[c.begin], c.second[c.begin]], axis=1)
+    c = _Candidates(_Windows(block.column(text_at), lay), _ids(block, id_at), _answers(answers), lay)
+    first, second = c.first[c.begin], c.second[c.begin]
     number = block.column(0)[0].as_py()
     out = []
     for r, i, j in c.key_ranges(lay.ranges):
         planes = c.least[i:j].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-        out.append((number, len(_SALTS), r, struct.pack("<I", j - i) + keys[i:j].tobytes() + _pack(planes)))
+        code = _squeeze(first[i:j])
+        out.append((number, len(_SALTS), r, struct.pack("<II", j - i, len(code)) + code + second[i:j].tobytes() + _pack(planes)))
     return _table(out)
 
 
@@ -250,11 +312,10 @@ def _least_ids(parts: pa.Table) -> pa.Table:
     rows = parts.to_pydict()
     firsts, seconds, ids, sizes = [], [], [], []
     for blob in rows["payload"]:
-        (n,) = struct.unpack_from("<I", blob)
-        keys = np.frombuffer(blob, U64, 2 * n, 4).reshape(n, 2)
-        firsts.append(keys[:, 0])
-        seconds.append(keys[:, 1])
-        ids.append(np.frombuffer(_unpack(blob[4 + 16 * n :]), np.uint8).reshape(8, n).T.copy().view("<i8").ravel())
+        n, size = struct.unpack_from("<II", blob)
+        firsts.append(_expand(blob[8 : 8 + size], U64))
+        seconds.append(np.frombuffer(blob, U64, n, 8 + size))
+        ids.append(np.frombuffer(_unpack(blob[8 + size + 8 * n :]), np.uint8).reshape(8, n).T.copy().view("<i8").ravel())
         sizes.append(n)
     first, second, least = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(ids)
     order = np.lexsort((second, first))
@@ -274,7 +335,7 @@ def _least_ids(parts: pa.Table) -> pa.Table:
 
 def _removed_words(block: pa.Table, answers: pa.Table, id_at: int, text_at: int, lay: _Layout) -> tuple[_Windows, np.ndarray]:
     """Pass 3: the windows of a block, and which of its words go."""
-    w = _Windows(block.column(text_at), lay.size)
+    w = _Windows(block.column(text_at), lay)
     told = _answers(answers)
     c = _Candidates(w, _ids(block, id_at), told, lay)
     elsewhere = np.zeros(len(c.begin), bool)
@@ -313,18 +374,29 @@ def drop_repeated_passages(
     p = p or SubstringParameters()
     shared.bound_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_column)), F.lit(0))).first()[0]
-    n_blocks = max(shared.shuffle_parts(docs.sparkSession), -(-total // p.block_bytes))
-    ranges = max(1, -(-(total // p.bytes_per_word * p.cells_per_window) >> _CELL_BITS))
-    lay = _Layout(p.window, n_blocks, ranges)
+    lay = _Layout.of(total, shared.shuffle_parts(docs.sparkSession), p)
+    n_blocks = lay.blocks
     names = docs.columns
     id_at, text_at = names.index(id_column) + 1, names.index(text_column) + 1
     length_at = names.index(length_column) + 1 if length_column else None
     block = F.pmod(F.xxhash64(docs[id_column], F.octet_length(docs[text_column])), F.lit(n_blocks)).cast("int")
-    placed = docs.select(block.alias("__block"), *(docs[c] for c in names)).repartition(n_blocks, "__block")
+    keyed = docs.select(block.alias("__block"), *(docs[c] for c in names))
+    slim = T.StructType([T.StructField(f.name, T.BinaryType()) if k == text_at else f for k, f in enumerate(keyed.schema)])
+
+    @blocks.tidy
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = batch.column(text_at).cast(pa.binary())
+            packed = pa.array([squeeze(t.as_buffer()) if t.is_valid else None for t in texts], pa.binary())
+            columns = [packed if k == text_at else batch.column(k) for k in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=slim.names)
+
+    placed = keyed.mapInArrow(pack, slim).repartition(n_blocks, "__block")
     by_block = placed.groupBy("__block")
 
     partial = by_block.applyInArrow(lambda t: _sketch(t, text_at, lay), MESSAGE)
-    merged = partial.groupBy("part").applyInArrow(_merge_sketch, MESSAGE)
+    merged = partial.groupBy("part").applyInArrow(lambda t: _merge_sketch(t, lay.cell_bits), MESSAGE)
     keys = by_block.cogroup(merged.groupBy("block")).applyInArrow(lambda t, a: _exact_keys(t, a, id_at, text_at, lay), MESSAGE)
     least = keys.groupBy("part").applyInArrow(_least_ids, MESSAGE)
     extra = ", n_words long, n_removed long" if counts else ""

@@ -127,9 +127,33 @@ def test_substring_dedup(odd_docs, odd_rows, no_docs, window, block_bytes):
     assert substring.drop_repeated_passages(no_docs, p).count() == 0
 
 
-def test_a_crowded_sketch_loses_no_window(odd_docs, odd_rows, monkeypatch):
-    monkeypatch.setattr(substring, "_CELL_BITS", 10)  # nearly every window is estimated repeated
-    p = substring.SubstringParameters(cells_per_window=1)
+def test_sorted_values_survive_their_code():
+    rng = np.random.default_rng(1)
+    for kind, top in ((np.uint32, 1 << 24), (np.uint64, (1 << 64) - 1), (np.uint32, 3), (np.uint64, 1)):
+        for n in (1, 2, 7, 300, 5000):
+            values = np.sort(rng.integers(0, top, n, dtype=np.uint64)).astype(kind)
+            code = substring._squeeze(values)
+            assert substring._expand(code, kind).tolist() == values.tolist()
+            if kind is np.uint32 and top > n > 100:
+                assert len(code) * 8 < n * (np.log2(top / n) + 3) + 150
+    flags = rng.random(999) < 0.1
+    assert substring._read_flags(substring._flags(flags), 999).tolist() == flags.tolist()
+
+
+def test_blocks_and_ranges_grow_together():
+    """Messages of the first pass, at 1 TB, hold enough windows to cost less than a byte for a byte of text."""
+    p = substring.SubstringParameters()
+    lay = substring._Layout.of(10**12, 8, p)
+    windows = 10**12 / p.bytes_per_word
+    a_message = windows / lay.blocks / lay.ranges
+    bits = np.log2((1 << lay.cell_bits) / a_message) + 3 + 8 * 60 / a_message
+    assert a_message > 200 and len(substring._SALTS) * bits / 8 / p.bytes_per_word < 1
+    small = substring._Layout.of(10**9, 8, p)
+    assert (small.blocks, small.cell_bits) == (-(-(10**9) // p.block_bytes), 24)
+
+
+def test_a_crowded_sketch_loses_no_window(odd_docs, odd_rows):
+    p = substring.SubstringParameters(cells_per_window=1, cell_bits=10, most_cell_bits=10)  # nearly every window is estimated repeated
     out = substring.drop_repeated_passages(odd_docs.select("doc_id", "text"), p, counts=True)
     assert Counter((r.doc_id, r.text, r.n_words, r.n_removed) for r in out.collect()) == brute_substring(odd_rows, 13)
 
@@ -174,9 +198,22 @@ def test_near_duplicates(odd_docs, odd_rows, no_docs, size):
         assert minhash.near_duplicates(no_docs, p).count() == minhash.drop_near_duplicates(no_docs, p).count() == 0
 
 
+def test_rows_of_one_id_with_other_texts_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    a, b, c = (noise(rng, 80, 10**6) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, b + " more", "x"), (None, c, "x"), (None, c, "x"), (None, a, "x"), (3, c, "x"), (None, None, "x"), (None, "", "x"), (4, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    kept = Counter((r.doc_id, r.text) for r in minhash.drop_near_duplicates(df).collect())
+    assert kept == Counter([(1, a), (1, b), (3, c), (None, None), (None, ""), (4, None)])
+    distinct = df.where("doc_id > 1").unionByName(spark.createDataFrame([(9, b, "z")], df.schema))
+    for most in (0, 10):
+        assert sorted(r.doc_id for r in minhash.drop_near_duplicates(distinct, broadcast_ids=most).collect()) == [2, 3, 4]
+
+
 def test_links_between_documents_that_are_no_centres(spark, monkeypatch):
     """Chains whose middle alone resembles both ends, in many copies; groups of one bucket are cut into small blocks."""
     monkeypatch.setattr(minhash, "_FAN", 3)
+    monkeypatch.setattr(minhash, "_WIDE", 5)
     rng = np.random.default_rng(4)
     rows = []
     for chain in range(12):
