@@ -54,6 +54,13 @@ class Prototypes:
     vectors: np.ndarray  # unit rows
 
 
+#: A table with more cells than this for each one in use is not multiplied as a whole.
+_SPARSE = 64
+
+#: With more possible n-grams than this, those in use are found by sorting and not by a table.
+_MOST_CODES = 1 << 22
+
+
 @cache
 def _letter_table() -> np.ndarray:
     """The lower-case letter of each code point, 0 for what is no letter."""
@@ -81,29 +88,60 @@ def _gram_vectors(grams: np.ndarray, p: ProfileParameters) -> np.ndarray:
     return out
 
 
-def _bundle(vectors: np.ndarray, rows: np.ndarray, grams: np.ndarray, bound: np.ndarray) -> None:
-    """Adds to each row's vector those of its n-grams: occurrences are given by row and number of the n-gram."""
+def _bundle(vectors: np.ndarray, row: np.ndarray, gram: np.ndarray, count: np.ndarray, bound: np.ndarray) -> None:
+    """Adds to each row's vector those of its n-grams, given by row, number of the n-gram and count, in order of rows."""
     wide = len(bound)
-    cells, count = np.unique(rows * wide + grams, return_counts=True)
-    row, gram = cells // wide, cells % wide
     step = max(1, (1 << 22) // wide)
     i = 0
-    while i < len(cells):
+    while i < len(row):
         low = int(row[i])
         j = int(np.searchsorted(row, low + step))
         span = int(row[j - 1]) - low + 1
-        if span * wide <= 16 * (j - i):
+        if span * wide <= _SPARSE * (j - i):
             table = np.zeros((span, wide), np.float32)
             table[row[i:j] - low, gram[i:j]] = count[i:j]
             vectors[low : low + span] += table @ bound
-        else:  # few n-grams a row: only those
-            for a in range(i, j, 4096):
-                b = min(a + 4096, j)
-                begins = np.flatnonzero(np.diff(row[a:b], prepend=-1))
-                vectors[row[a:b][begins]] += np.add.reduceat(bound[gram[a:b]] * count[a:b, None].astype(np.float32), begins)
+        else:
+            for k in range(i, j, 4096):
+                _bundle_few(vectors, *(x[k : min(k + 4096, j)] for x in (row, gram, count)), bound)
         i = j
 
 
+def _bundle_few(vectors: np.ndarray, row: np.ndarray, gram: np.ndarray, count: np.ndarray, bound: np.ndarray) -> None:
+    """The same where rows have few of the n-grams: the first of each row, then the second, and longer rows by themselves."""
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    lengths = np.diff(begins, append=len(row))
+    for i, size in zip(begins[lengths > 16].tolist(), lengths[lengths > 16].tolist()):
+        vectors[row[i]] += count[i : i + size].astype(np.float32) @ bound[gram[i : i + size]]
+    for k in range(16):
+        at = begins[(lengths > k) & (lengths <= 16)] + k
+        for i in range(0, len(at), 512):
+            some = at[i : i + 512]
+            vectors[row[some]] += bound[gram[some]] * count[some, None].astype(np.float32)
+
+
+def _number_grams(line: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """A number for the n-gram at each of the given places, in order of its letters, and how many numbers there are."""
+    seen = np.zeros(int(line.max(initial=0)) + 1, bool)
+    seen[line] = True
+    code = (np.cumsum(seen) - 1)[line]
+    wide = int(np.count_nonzero(seen))
+    key, most = np.zeros(len(first), np.int64), 1
+    for k in range(size):
+        if most * wide >> 63:
+            different, key = np.unique(key, return_inverse=True)
+            most = len(different)
+        key *= wide
+        key += code[first + k]
+        most *= wide
+    if most > _MOST_CODES:
+        different, key = np.unique(key, return_inverse=True)
+        return key, len(different)
+    seen = np.zeros(most, bool)
+    seen[key] = True
+    return (np.cumsum(seen) - 1)[key], int(np.count_nonzero(seen))
+
+
 def document_vectors(data: np.ndarray, offsets: np.ndarray, p: ProfileParameters) -> tuple[np.ndarray, np.ndarray]:
     """The unit vector of each row, and which rows have a letter."""
     n = len(offsets) - 1
@@ -126,19 +164,23 @@ def document_vectors(data: np.ndarray, offsets: np.ndarray, p: ProfileParameters
     inner = (windows[:, 1 : size - 1] != 0).all(axis=1) & (windows[:, 0] | windows[:, -1] != 0) if size > 2 else (windows != 0).any(axis=1)
     first = np.flatnonzero(inner)
     owners = owner[first + size // 2]
-    key = np.zeros(len(first), np.uint64)
-    for k in range(size):
-        key = key * np.uint64(0x110000) + windows[first, k].astype(np.uint64)
-    _, sample, index = np.unique(key, return_index=True, return_inverse=True)
-    del key
+    index, different = _number_grams(line, first, size)
+    sample = np.empty(different, np.int64)
+    sample[index] = first
+    # Occurrences by some n-grams at a time, by row, by n-gram.
+    part, gram = np.divmod(index, p.grams_at_once)
+    cells = (part * n + owners) * p.grams_at_once + gram
+    del index, owners, part, gram
+    cells.sort()
+    begins = np.flatnonzero(np.diff(cells, prepend=-1))
+    count = np.diff(begins, append=len(cells))
+    cells = cells[begins]
     vectors = np.zeros((n, p.dimensions), np.float32)
-    by_gram = np.argsort(index, kind="stable")  # occurrences by n-gram, rows in order
-    edges = np.searchsorted(index[by_gram], np.arange(0, len(sample) + p.grams_at_once, p.grams_at_once))
-    for k, (i, j) in enumerate(zip(edges, edges[1:])):
-        mine = by_gram[i:j]
-        base = k * p.grams_at_once
-        grams = _gram_vectors(windows[first[sample[base : base + p.grams_at_once]]], p).astype(np.float32)
-        _bundle(vectors, owners[mine], index[mine] - base, grams)
+    for base in range(0, different, p.grams_at_once):
+        i, j = np.searchsorted(cells, [base * n, (base + p.grams_at_once) * n])
+        row, gram = np.divmod(cells[i:j] - base * n, p.grams_at_once)
+        grams = _gram_vectors(windows[sample[base : base + p.grams_at_once]], p).astype(np.float32)
+        _bundle(vectors, row, gram, count[i:j], grams)
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     np.divide(vectors, length, out=vectors, where=length > 0)
     return vectors, some

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -289,6 +290,31 @@ def test_document_vectors_and_predictions_against_brute_force(spark, odd_rows, a
             assert r.lang_pred == (("en", "fr")[near.argmax()] if some[r.doc_id] else "und") and abs(r.score - (max(near.max(), 0) if some[r.doc_id] else 0)) < 1e-4
 
 
+@pytest.mark.parametrize("letters", [3, 4])
+@pytest.mark.parametrize("sparse, codes", [(0, 0), (0, 1 << 22), (1 << 40, 0), (64, 1 << 22)])
+def test_every_way_of_bundling_against_brute_force(monkeypatch, letters, sparse, codes):
+    monkeypatch.setattr(language, "_SPARSE", sparse, raising=False)
+    monkeypatch.setattr(language, "_MOST_CODES", codes, raising=False)
+    p = language.ProfileParameters(dimensions=128, letters=letters, grams_at_once=50)
+    rng = random.Random(letters)
+    texts = ["", "a", "12", *("".join(rng.choices("abcdeé \U0001d49c漢", k=k)) for k in (1, 3, 9, 30, 200, 2000)), "abc abc", "z" * 40]
+    raw = [t.encode() for t in texts]
+    got, some = language.document_vectors(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), p)
+    assert np.allclose(got, [brute_vector(t, p) for t in texts], atol=1e-5) and some.tolist() == [any(map(str.isalpha, t)) for t in texts]
+
+
+def test_vectors_of_short_rows_in_few_seconds():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgkqjxz", k=rng.randint(2, 9))) for _ in range(3000)]
+    raw = [" ".join(rng.choices(words, k=30)).encode() for _ in range(4000)]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    language._letter_table()
+    language.document_vectors(data[: offsets[400]], offsets[:401], language.ProfileParameters())
+    began = time.thread_time()
+    language.document_vectors(data, offsets, language.ProfileParameters())
+    assert time.thread_time() - began < 2
+
+
 def test_many_different_letters_in_bounded_memory():
     import tracemalloc
 
