@@ -274,9 +274,14 @@ def chain_union_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id - (SELECT min(doc_id) FROM documents) AS position, lang, strlen(text)::BIGINT AS bytes FROM documents")
 def read_parquet_by_position(spark: SparkSession, sf: str) -> DataFrame:
+    """A position is a row of one file; of a table of several files, its ids say where that row stands in all of it."""
     path = Path(sf) / "documents.parquet"
     rows = Corpus(read(path, lang_field="lang", on_error="skip")).run_pass(fingerprint=False).kept()
-    return rows.select("position", "lang", "bytes")
+    table = spark.read.parquet(str(path))
+    file = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("file")
+    ids = table.select("doc_id", file, F.col("_metadata.row_index").alias("position"))
+    found = rows.withColumn("file", F.substring_index("source", "/", -1)).join(ids, ["file", "position"])
+    return found.select((F.col("doc_id") - F.lit(table.agg(F.min("doc_id")).first()[0])).alias("position"), "lang", "bytes")
 
 
 @query("SELECT conv_id, turn, role, strlen(text)::BIGINT AS bytes FROM conversations WHERE text IS NOT NULL")

@@ -1,5 +1,7 @@
 """Streams pick what corpora pick; the driver's entry points hold together."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry_points
@@ -41,3 +43,12 @@ def test_the_flagship_query_runs(spark):
 @pytest.mark.parametrize(("sf", "kept"), [("sf0.001", 180), ("sf0.01", 900)])
 def test_near_dedup_of_the_tables(spark, sf, kept):
     assert queries.near_dedup(spark, f"/root/testdata/{sf}").count() == kept
+
+
+def test_positions_of_a_table_in_several_files(spark, tmp_path):
+    rows = [(k, f"text {k}", "de" if k % 3 else "en") for k in range(5, 25)]
+    for name, part in (("b", rows[:8]), ("a", rows[8:9]), ("c d", rows[9:])):
+        (tmp_path / "documents.parquet").mkdir(exist_ok=True)
+        pq.write_table(pa.table(dict(zip(("doc_id", "text", "lang"), zip(*part)))), tmp_path / "documents.parquet" / f"{name}.parquet")
+    got = queries.read_parquet_by_position(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(k - 5, lang, len(text)) for k, text, lang in rows]
