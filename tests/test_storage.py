@@ -186,3 +186,17 @@ def test_printing():
     html = stats._repr_html_()
     assert "&lt;s22&gt;" in html and "<s22>" not in html and html.count("<table") == 4
     assert "none" in str(corpus_of([]).stats())
+
+
+def test_a_saved_file_is_bounded_by_its_bytes(tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "BYTES_PER_FILE", 2_000)
+    texts = [f"{k} " + "x" * 200 for k in range(100)]
+    stats = corpus_of(texts).save(tmp_path / "out")
+    files = [pq.read_metadata(p).num_rows for p in (tmp_path / "out" / "corpus.parquet").glob("*.parquet")]
+    assert len(files) >= 8 and max(files) <= 30 and sum(files) == 100
+    assert list(Corpus.load(tmp_path / "out").texts()) == texts and Corpus.load(tmp_path / "out").stats().fingerprint == stats.fingerprint
+
+
+def test_files_are_loaded_by_their_number():
+    names = ["part-100000-x.parquet", "part-99999-x.parquet", "part-00002-x.parquet"]
+    assert [p.name for p in sorted(map(storage.Path, names), key=storage._in_order)] == names[::-1]
