@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import os
+import uuid
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,12 +85,30 @@ def read_text_files_by_directory(spark: SparkSession, sf: str) -> DataFrame:
     return done.kept().groupBy(F.col("group").alias("directory")).agg(F.sum("bytes").alias("bytes"))
 
 
+def _one_file_each(rows: DataFrame, path: str) -> None:
+    """Writes each text to a file of its own. Tasks write them in Python: Spark starts a process or two for the permissions of each file."""
+    Path(path).mkdir(parents=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for text in batch.column(0):
+                name = f"part-{task:05}-{n:07}"
+                partial = f"{path}/.{name}.{uuid.uuid4().hex}"  # another attempt of this task may write the same file
+                with open(partial, "wb") as file:
+                    file.write((text.as_py() or "").encode() + b"\n")
+                os.replace(partial, f"{path}/{name}")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"files": [n]})
+
+    rows.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 @query("SELECT strlen(text)::BIGINT + 1 AS bytes FROM documents WHERE lang = 'de'")
 def read_raw_text_of_any_format(spark: SparkSession, sf: str) -> DataFrame:
     """One file a document, read as text because format= says so."""
     path = _folder(spark, "raw")
-    rows = _table(spark, sf).where("lang = 'de'")
-    rows.repartition(max(1, rows.count()), F.col("doc_id")).select("text").write.option("maxRecordsPerFile", 1).text(path)
+    _one_file_each(_table(spark, sf).where("lang = 'de'").select("text"), path)
     done = Corpus(read(path, format="text", glob="part-*", on_error="skip")).run_pass(fingerprint=False)
     return done.kept().where("bytes > 0").select("bytes")
 

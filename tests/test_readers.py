@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from corploom import Corpus, Document, chain, from_table, read
+from corploom import Corpus, Document, chain, from_table, queries_io, read
 from corploom.errors import (
     ConfigurationError,
     DuplicateSourceError,
@@ -201,3 +201,27 @@ def test_tables_are_sources_too(spark):
     assert [(d.position, d.text, d.lang) for d in docs] == [(0, "a", None), (2, "b", "x")] and len(stream.errors) == 1
     with pytest.raises(ConfigurationError):
         from_table(df, text="body")
+
+
+def test_many_small_files_share_tasks_and_large_ones_do_not(spark, tmp_path, monkeypatch):
+    for k in range(400):
+        (tmp_path / f"{k:03}.txt").write_text(f"text {k}")
+    (tmp_path / "200.txt").write_bytes(b"\xff")
+    stream = read(tmp_path, on_error="skip")
+    frame, _ = stream.frame(spark, 0, stream_module.PassReport())
+    assert frame.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    assert brief(stream) == [(f"{k:03}.txt", 0, f"text {k}") for k in range(400) if k != 200] and [e.source for e in stream.errors] == ["200.txt"]
+    monkeypatch.setattr("corploom.sources.reader._FILE_BYTES", 8)
+    assert read(tmp_path, on_error="skip").frame(spark, 0, stream_module.PassReport())[0].rdd.getNumPartitions() == 400
+
+
+def test_one_file_a_document_takes_few_tasks(spark, tmp_path):
+    rows = [(k, "é" * (k % 7), "de" if k % 4 else "en") for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.sparkContext.setJobGroup("raw", "raw")
+    got = [r.bytes for r in queries_io.read_raw_text_of_any_format(spark, str(tmp_path)).collect()]
+    status = spark.sparkContext.statusTracker()
+    stages = [s for j in status.getJobIdsForGroup("raw") for s in status.getJobInfo(j).stageIds]
+    spark.sparkContext._jsc.clearJobGroup()
+    assert sorted(got) == sorted(2 * (k % 7) + 1 for k in range(300) if k % 4)
+    assert max(info.numTasks for s in stages if (info := status.getStageInfo(s))) <= 8 * spark.sparkContext.defaultParallelism
