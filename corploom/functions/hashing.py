@@ -7,12 +7,15 @@ content hashes, selection values) an Arrow function computes them in batches.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corploom.functions.batches import over_batches
+
 VERSION = "blake2b-128-v1"
 
 
@@ -47,19 +50,27 @@ def location_hash(source: str, position: int) -> str:
     return hex128(utf8(":".join((str(len(source)), source, str(position)))))
 
 
-@F.pandas_udf(T.StringType())
-def _text_hashes(text: pd.Series) -> pd.Series:
-    return text.map(text_hash, na_action="ignore")
+def _text_hash(text: str | None) -> str | None:
+    return None if text is None else text_hash(text)
+
+
+def _unit(prefix: str, key: str) -> float:
+    return unit(prefix + key)
+
+
+@F.arrow_udf(T.StringType())
+def _text_hashes(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return over_batches(_text_hash, pa.string(), text)
 
 
-@F.pandas_udf(T.StringType())
-def _location_hashes(source: pd.Series, position: pd.Series) -> pd.Series:
-    return pd.Series([location_hash(s, int(p)) for s, p in zip(source, position)], dtype=object)
+@F.arrow_udf(T.StringType())
+def _location_hashes(places: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    return over_batches(location_hash, pa.string(), places)
 
 
-@F.pandas_udf(T.DoubleType())
-def _units(prefix: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series([unit(p + k) for p, k in zip(prefix, key)], dtype="float64")
+@F.arrow_udf(T.DoubleType())
+def _units(keys: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    return over_batches(_unit, pa.float64(), keys)
 
 
 def content_hash(text: Column) -> Column:

@@ -5,24 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corploom.functions.batches import bound_batches
 from corploom.plans.tables import forget, new_path, written
 
 __all__ = ["bound_batches", "forget", "lookup", "new_path", "shuffle_parts", "written"]
 
-#: Text in one Arrow batch: several copies of a batch exist at a time, in the JVM and in Python.
-BATCH_BYTES = 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit of bytes in an Arrow batch to `BATCH_BYTES`, if it is higher."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name).lower().removesuffix("b")
-    scale = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
-    size = int(now[:-1] if scale else now) << scale
-    if size <= 0 or size > BATCH_BYTES:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

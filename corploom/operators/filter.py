@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corploom.document import Document, from_row
 from corploom.errors import ConfigurationError
+from corploom.functions.batches import over_batches
 from corploom.functions.text import chars, has_text
 from corploom.operators.base import Made, StepContext, Tally, alive, drop_unless, made, name_of
 
@@ -65,14 +66,11 @@ class Filter:
 
 
 def _accepted(fn: Callable[[Document], bool]) -> Any:
-    @F.pandas_udf("boolean")
-    def accepted(rows: pd.DataFrame) -> pd.Series:
-        def verdict(r: dict[str, Any]) -> bool:
-            if r["text"] is None:
-                return False
-            position = int(r["position"])
-            return bool(fn(from_row(r | {"position": position, "lang": None if r["lang"] is None or r["lang"] != r["lang"] else r["lang"]})))
-
-        return pd.Series([verdict(r) for r in rows.to_dict("records")], dtype=bool)
+    def verdict(row: dict[str, Any] | None) -> bool:
+        return row is not None and row["text"] is not None and bool(fn(from_row(row)))
+
+    @F.arrow_udf("boolean")
+    def accepted(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return over_batches(verdict, pa.bool_(), rows)
 
     return accepted

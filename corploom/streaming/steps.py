@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corploom.errors import ConfigurationError
+from corploom.functions.batches import bound_batches
 from corploom.operators.base import GONE, Step, StepContext
 from corploom.operators.filter import Filter
 from corploom.operators.sample import Sample
@@ -31,6 +32,7 @@ def select_stream(documents: DataFrame, steps: Sequence[Step], *, first_step: in
         if not isinstance(step, (Filter, Split, Sample)) or step.needs_prepass:
             raise ConfigurationError(f"{step.name} needs the whole corpus; only filter, split and a fixed-fraction sample run on a stream")
     send_package(documents.sparkSession)
+    bound_batches(documents.sparkSession)
     frame = documents.withColumn(GONE, F.lit(None).cast("int"))
     for number, step in enumerate(steps, 1):
         frame = step.mark(frame, StepContext(number, first_step + number - 1, {}, set()))
